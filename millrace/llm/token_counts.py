@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.common import chunks_by_bytes
 
@@ -71,7 +72,7 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", out: str = "n_tok
     already named ``out`` is replaced.
     """
     df = df.drop(out) if out in df.columns and out != text else df
-    schema = df.schema.add(out, "long")
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.LongType())])
 
     def run(batches):
         for b in batches:
