@@ -199,3 +199,28 @@ def range_starts(keys: DataFrame, n: int) -> list:
     kind = keys.dtypes[0][1]
     ranged = keys.repartitionByRange(n, "key").sortWithinPartitions("key")
     return sorted({r[0] for r in ranged.mapInArrow(_first_keys, f"key {kind}").collect()})
+
+
+def squeeze(raw: bytes) -> bytes:
+    """Bytes behind one flag byte, compressed where that can pay."""
+    return b"\1" + zstandard.ZstdCompressor(level=1).compress(raw) if len(raw) > 256 else b"\0" + raw
+
+
+def unsqueeze(blob: bytes) -> bytes:
+    """The inverse of :func:`squeeze`."""
+    return zstandard.ZstdDecompressor().decompress(blob[1:]) if blob[0] else blob[1:]
+
+
+def pack_strings(words: list[bytes]) -> bytes:
+    """Byte strings as count, lengths and content."""
+    lengths = np.fromiter(map(len, words), "<u4", len(words))
+    return squeeze(np.uint32(len(words)).tobytes() + lengths.tobytes() + b"".join(words))
+
+
+def unpack_strings(blob: bytes) -> pa.Array:
+    """The inverse of :func:`pack_strings`, as an Arrow array."""
+    raw = unsqueeze(blob)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    offsets = np.zeros(n + 1, np.int64)
+    np.cumsum(np.frombuffer(raw, "<u4", n, 4), out=offsets[1:])
+    return pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(raw[4 + 4 * n :])])

@@ -19,5 +19,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_query(load(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {"op5_token_counts": op5_token_counts}
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.bpe import op3_query
+
+    return op3_query(load(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
+QUERIES = {"op3_bpe": op3_bpe, "op5_token_counts": op5_token_counts}
 ORACLE_SQL: dict[str, str] = {}
