@@ -23,7 +23,7 @@ from millrace.llm.word_bpe import encode_units, special_tokens, units
 
 
 def _send_words(path: str, owners: int):
-    def run(key, t: pa.Table) -> pa.Table:
+    def run(key, t):
         special = special_tokens(path)
         found: set[str] = set()
         for text in from_blocks(t.column("payload").to_pylist()).column("text").to_pylist():
@@ -39,7 +39,7 @@ def _send_words(path: str, owners: int):
 
 
 def _encode_words(path: str):
-    def run(key, t: pa.Table) -> pa.Table:
+    def run(key, t):
         lists = [unpack_strings(b) for b in t.column("words").to_pylist()]
         words = pc.unique(pa.chunked_array(lists))
         counts, flat = np.zeros(len(words), np.int64), []
@@ -64,7 +64,7 @@ def _joined(values: pa.Array, offsets: np.ndarray) -> list[str]:
 
 
 def _join_ids(path: str, digest: bool):
-    def run(key, docs: pa.Table, replies: pa.Table) -> pa.Table:
+    def run(key, docs, replies):
         tok, special = tokenizer(path), special_tokens(path)
         pieces = pa.array([tok.id_to_token(i) or "" for i in range(tok.get_vocab_size())], pa.large_string())
         decimal = pa.array([str(i) for i in range(len(pieces))], pa.large_string())

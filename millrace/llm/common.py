@@ -53,7 +53,7 @@ def bucket_count(df: DataFrame, per_bucket: int = BUCKET_BYTES) -> int:
     there is none (rows made in memory), the text itself is summed.
     """
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= 1 << 55:
         lengths = [F.octet_length(c) for c, t in df.dtypes if t == "string"]
         total = sum(lengths[1:], lengths[0]) if lengths else F.lit(64)
@@ -224,3 +224,51 @@ def unpack_strings(blob: bytes) -> pa.Array:
     offsets = np.zeros(n + 1, np.int64)
     np.cumsum(np.frombuffer(raw, "<u4", n, 4), out=offsets[1:])
     return pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(raw[4 + 4 * n :])])
+
+
+def _deal(starts, neighbours):
+    import bisect
+
+    numeric = np.array(starts) if starts and not isinstance(starts[0], str) else None
+
+    def run(batches):
+        for b in batches:
+            key = b.column(b.schema.get_field_index("key"))
+            if numeric is not None:
+                at = np.maximum(np.searchsorted(numeric, key.to_numpy(zero_copy_only=False), side="right") - 1, 0)
+                first = numeric[at] == key.to_numpy(zero_copy_only=False)
+            else:
+                keys = key.to_pylist()
+                at = np.array([max(bisect.bisect_right(starts, k) - 1, 0) for k in keys], np.int64)
+                first = np.array([starts[i] == k for i, k in zip(at, keys, strict=True)], bool)
+            yield with_columns(b, bucket=pa.array(at, pa.int32()), extra=pa.array(np.zeros(len(at), bool)))
+            if neighbours and first.any():
+                again = b.filter(pa.array(first))
+                yield with_columns(again, bucket=pa.array((at[first] - 1) % len(starts), pa.int32()), extra=pa.array(np.ones(again.num_rows, bool)))
+
+    return run
+
+
+def with_columns(b: pa.RecordBatch, **more) -> pa.RecordBatch:
+    """The batch with further columns."""
+    return pa.RecordBatch.from_arrays([*b.columns, *more.values()], [*b.schema.names, *more])
+
+
+def ordered_blocks(rows: DataFrame, n: int, neighbours: bool = False) -> DataFrame:
+    """Blocks of ``rows`` (with a ``key``) by key range: bucket k is wholly before k + 1.
+
+    With ``neighbours``, the rows of a bucket's first key also go, marked
+    ``extra``, to the bucket before it (the first bucket's to the last), so that
+    every row meets its successor in one bucket.
+    """
+    starts = range_starts(rows.select("key"), n)
+    deal = _deal(starts, neighbours)
+    return rows.mapInArrow(lambda batches: _pack(deal(batches)), "bucket int, payload binary")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder name below the shared checkpoint folder."""
+    import uuid
+
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"

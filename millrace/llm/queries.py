@@ -25,5 +25,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_query(load(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {"op3_bpe": op3_bpe, "op5_token_counts": op5_token_counts}
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.token_files import op8_query
+
+    return op8_query(load(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
+QUERIES = {"op8_token_files": op8_token_files, "op3_bpe": op3_bpe, "op5_token_counts": op5_token_counts}
 ORACLE_SQL: dict[str, str] = {}
