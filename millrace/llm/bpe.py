@@ -42,12 +42,7 @@ def _encode_words(path: str):
     def run(key, t):
         lists = [unpack_strings(b) for b in t.column("words").to_pylist()]
         words = pc.unique(pa.chunked_array(lists))
-        counts, flat = np.zeros(len(words), np.int64), []
-        for a in range(0, len(words), 50_000):
-            got = encode_units(path, [w.decode() for w in words.slice(a, 50_000).to_pylist()])
-            counts[a : a + len(got)] = [len(x) for x in got]
-            flat.append(np.concatenate([np.array(x, np.uint32) for x in got]))
-        flat = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
+        flat, counts = encode_units(path, [w.decode() for w in words.to_pylist()])
         ids = pa.LargeListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)]), pa.array(flat))
         out = []
         for own in lists:

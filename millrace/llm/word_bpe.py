@@ -41,9 +41,42 @@ def special_tokens(path: str) -> tuple[str, ...]:
     return tuple(t.content for t in tokenizer(path).get_added_tokens_decoder().values())
 
 
-def encode_units(path: str, found: list[str]) -> list[list[int]]:
-    """The ids of each unit."""
-    return [e.ids for e in tokenizer(path).encode_batch_fast([u[1:] if u[:1] == "\0" else u for u in found], add_special_tokens=False)]
+_ends: dict[str, np.ndarray] = {}
+
+
+def _word_ends(path: str) -> np.ndarray:
+    """For each id, whether its piece ends a word."""
+    if path not in _ends:
+        t = tokenizer(path)
+        _ends[path] = np.array([(t.id_to_token(i) or "").endswith("</w>") for i in range(t.get_vocab_size())])
+    return _ends[path]
+
+
+def encode_units(path: str, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all units on end, and the number of ids of each.
+
+    Plain words go through the library as one text, a space apart: each of them
+    ends with the only piece that ends a word, which gives the bounds back.
+    """
+    tok, ids = tokenizer(path), []
+    counts = np.zeros(len(found), np.int64)
+    a = 0
+    while a < len(found):
+        if found[a][:1] == "\0":
+            got = np.array(tok.encode(found[a][1:], add_special_tokens=False).ids, np.uint32)
+            counts[a], z = len(got), a + 1
+        else:
+            z = a + 1
+            while z < len(found) and z - a < 20_000 and found[z][:1] != "\0":
+                z += 1
+            got = np.array(tok.encode_batch_fast([" ".join(found[a:z])], add_special_tokens=False)[0].ids, np.uint32)
+            last = np.flatnonzero(_word_ends(path)[got]) + 1
+            if len(last) != z - a:
+                raise ValueError("a word of the vocabulary doesn't end with a word end")
+            counts[a:z] = np.diff(last, prepend=0)
+        ids.append(got)
+        a = z
+    return np.concatenate(ids) if ids else np.zeros(0, np.uint32), counts
 
 
 class CachedEncoder:
@@ -60,6 +93,8 @@ class CachedEncoder:
             if len(cache) + len(missing) > self.most:
                 cache.clear()
                 missing = list(set(found))
-            for u, ids in zip(missing, encode_units(self.path, missing), strict=True):
-                cache[u] = np.array(ids, "<u4").tobytes()
+            ids, counts = encode_units(self.path, missing)
+            raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+            for u, a, z in zip(missing, [0, *ends], ends, strict=False):
+                cache[u] = raw[a:z]
         return np.frombuffer(b"".join(map(cache.__getitem__, found)), "<u4")
