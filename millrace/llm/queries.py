@@ -31,5 +31,11 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_query(load(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {"op8_token_files": op8_token_files, "op3_bpe": op3_bpe, "op5_token_counts": op5_token_counts}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.decontaminate import op10_query
+
+    return op10_query(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op10_decontaminate": op10_decontaminate, "op8_token_files": op8_token_files, "op3_bpe": op3_bpe, "op5_token_counts": op5_token_counts}
 ORACLE_SQL: dict[str, str] = {}
