@@ -52,6 +52,11 @@ def window_keys(w: Column, length: int, window: int = WINDOW, k: int = K) -> Col
     return F.when(F.size(w) >= window, mins).otherwise(F.array().cast("array<bigint>"))
 
 
+def _starts(n: int, window: int, k: int) -> Column:
+    """Where the runs of ``n`` words of ``w`` start whose fingerprint is among ``keys``."""
+    return _let(window_keys(F.col("w"), n, window, k), lambda h: F.filter(F.sequence(F.lit(1), F.greatest(F.size(h), F.lit(1))), lambda j: F.coalesce(F.array_contains(F.col("keys"), F.try_element_at(h, j)), F.lit(False))))
+
+
 def _side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
@@ -88,7 +93,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     near = split.join(_side(matched, n_matched), "__row")
     found = []
     for n in lengths:
-        at = _let(F.col("w"), lambda w, n=n: _let(window_keys(w, n, window, k), lambda h: F.filter(F.sequence(F.lit(1), F.greatest(F.size(h), F.lit(1))), lambda j: F.array_contains(F.col("keys"), F.try_element_at(h, j)))))
+        at = _starts(n, window, k)
         one = near.select("__row", "w", F.explode(at).alias("at"))
         found.append(one.select("__row", (F.col("at") - 1).alias("start"), (F.col("at") - 1 + n).alias("end"), F.array_join(F.slice("w", F.col("at"), n), " ").alias("win"), F.lit(n).alias("length")))
     spans = F.aggregate(
