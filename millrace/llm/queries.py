@@ -37,5 +37,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_query(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op10_decontaminate": op10_decontaminate, "op8_token_files": op8_token_files, "op3_bpe": op3_bpe, "op5_token_counts": op5_token_counts}
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.suffix_dedup import op1_query
+
+    return op1_query(load(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op10_decontaminate": op10_decontaminate, "op8_token_files": op8_token_files, "op3_bpe": op3_bpe, "op5_token_counts": op5_token_counts}
 ORACLE_SQL: dict[str, str] = {}
