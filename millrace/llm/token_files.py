@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bucket_count, from_blocks, ordered_blocks, shared_folder
+from millrace.llm.common import bucket_count, chunks_by_bytes, from_blocks, ordered_blocks, shared_folder
 from millrace.llm.token_counts import tokenizer
 from millrace.llm.word_bpe import CachedEncoder
 
@@ -54,7 +54,7 @@ def _write(path: str, bits: int):
     def run(key, t):
         docs = from_blocks(t.column("payload").to_pylist())
         docs = docs.take(pc.sort_indices(docs, [("key", "ascending"), ("text", "ascending")]))
-        encode, rows, base = CachedEncoder(path), [], 0
+        encoder, rows, base = CachedEncoder.of(path), [], 0
         held, ids, size = [], [], 0
 
         def close():
@@ -64,13 +64,15 @@ def _write(path: str, bits: int):
                 rows.append((key[0].as_py(), len(rows), base, size, bits, np.array(held, "<i8").tobytes(), np.cumsum([len(x) for x in ids]).astype("<i8").tobytes(), pack_bits(all_ids, bits)))
                 base, held, ids, size = base + size, [], [], 0
 
-        for k, text in zip(docs.column("key").to_pylist(), docs.column("text").to_pylist(), strict=True):
-            x = np.append(encode(text), np.uint32(END_ID))
-            held.append(k)
-            ids.append(x)
-            size += len(x)
-            if size >= BLOCK_IDS:
-                close()
+        keys, texts = docs.column("key").to_pylist(), docs.column("text").to_pylist()
+        for a, z in chunks_by_bytes([len(x) for x in texts], 1 << 20):
+            for k, x in zip(keys[a:z], encoder.many(texts[a:z]), strict=True):
+                x = np.append(x, np.uint32(END_ID))
+                held.append(k)
+                ids.append(x)
+                size += len(x)
+                if size >= BLOCK_IDS:
+                    close()
         close()
         names = [f.split()[0] for f in BLOCK_SCHEMA.split(", ")]
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]

@@ -80,21 +80,35 @@ def encode_units(path: str, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class CachedEncoder:
-    """Text to ids with a bounded cache of units, for one worker."""
-
-    def __init__(self, path: str, most: int = 400_000):
-        self.path, self.most, self.special, self.cache = path, most, special_tokens(path), {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        found = units(text, self.special)
-        cache = self.cache
-        missing = [u for u in set(found) if u not in cache]
+    """Text to ids with a bounded cache of units, one for each worker and vocabulary."""
+
+    #: Units that the cache holds at most; beyond, it starts anew.
+    MOST = 600_000
+    _kept: dict[str, "CachedEncoder"] = {}
+
+    def __init__(self, path: str):
+        self.path, self.special, self.cache = path, special_tokens(path), {}
+
+    @classmethod
+    def of(cls, path: str) -> "CachedEncoder":
+        """The worker's encoder for a vocabulary."""
+        if path not in cls._kept:
+            cls._kept[path] = cls(path)
+        return cls._kept[path]
+
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        found = [units(t, self.special) for t in texts]
+        cache, every = self.cache, set().union(*found)
+        missing = list(every - cache.keys())
         if missing:
-            if len(cache) + len(missing) > self.most:
+            if len(cache) + len(missing) > self.MOST:
                 cache.clear()
-                missing = list(set(found))
+                missing = list(every)
             ids, counts = encode_units(self.path, missing)
             raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
-            for u, a, z in zip(missing, [0, *ends], ends, strict=False):
-                cache[u] = raw[a:z]
-        return np.frombuffer(b"".join(map(cache.__getitem__, found)), "<u4")
+            cache.update((u, raw[a:z]) for u, a, z in zip(missing, [0, *ends], ends, strict=False))
+        return [np.frombuffer(b"".join(map(cache.__getitem__, f)), "<u4") for f in found]
+
+    def __call__(self, text: str) -> np.ndarray:
+        return self.many([text])[0]
