@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from millrace.llm.common import bucket_count, checkpoint, from_blocks, pack_sorted, packed_documents, squeeze, unpack_sorted, unsqueeze
 
 SENT = "owner int, bucket int, payload binary"
-REPLY = "bucket int, owner int, repeated binary, first binary"
+REPLY = "bucket int, owner int, grade binary, first binary"
 
 
 def stored_blocks(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -55,15 +55,17 @@ def _answer(key, t):
     by = np.argsort(keys, kind="stable")
     ranked = keys[by]
     same = ranked[1:] == ranked[:-1]
-    repeated, first = np.zeros(len(keys), bool), np.ones(len(keys), bool)
-    repeated[by[1:][same]] = repeated[by[:-1][same]] = True
-    first[by[1:][same]] = False
+    runs = np.flatnonzero(np.r_[True, ~same])
+    sizes = np.diff(np.r_[runs, len(keys)])
+    grade, first = np.empty(len(keys), np.uint8), np.zeros(len(keys), bool)
+    grade[by] = np.repeat(np.log2(sizes).astype(np.uint8), sizes)
+    first[by[runs]] = True
     out, a = [None] * len(held), 0
     for i in order:
         z = a + len(held[i])
-        out[i] = (squeeze(np.packbits(repeated[a:z]).tobytes()), squeeze(np.packbits(first[a:z]).tobytes()))
+        out[i] = (squeeze(grade[a:z].tobytes()), squeeze(np.packbits(first[a:z]).tobytes()))
         a = z
-    return pa.table({"bucket": t.column("bucket").cast(pa.int32()), "owner": t.column("owner").cast(pa.int32()), "repeated": pa.array([x[0] for x in out], pa.binary()), "first": pa.array([x[1] for x in out], pa.binary())})
+    return pa.table({"bucket": t.column("bucket").cast(pa.int32()), "owner": t.column("owner").cast(pa.int32()), "grade": pa.array([x[0] for x in out], pa.binary()), "first": pa.array([x[1] for x in out], pa.binary())})
 
 
 def answers(sent: DataFrame) -> DataFrame:
@@ -72,11 +74,13 @@ def answers(sent: DataFrame) -> DataFrame:
 
 
 def masks(replies: pa.Table, keys: np.ndarray, bits: int, owners: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each sorted distinct key that was sent: is it elsewhere, is this bucket its first."""
-    repeated, first = np.zeros(len(keys), bool), np.ones(len(keys), bool)
+    """For each sorted distinct key that was sent: the binary logarithm of the
+    number of buckets that have it (0: this one alone), and whether this bucket
+    is the first of them."""
+    grade, first = np.zeros(len(keys), np.uint8), np.ones(len(keys), bool)
     parts = {o: (a, z) for o, a, z in _slices(keys, bits, owners)}
     for r in replies.to_pylist():
         a, z = parts[r["owner"]]
-        repeated[a:z] = np.unpackbits(np.frombuffer(unsqueeze(r["repeated"]), np.uint8), count=z - a)
+        grade[a:z] = np.frombuffer(unsqueeze(r["grade"]), np.uint8)
         first[a:z] = np.unpackbits(np.frombuffer(unsqueeze(r["first"]), np.uint8), count=z - a)
-    return repeated, first
+    return grade, first

@@ -43,5 +43,11 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_query(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op10_decontaminate": op10_decontaminate, "op8_token_files": op8_token_files, "op3_bpe": op3_bpe, "op5_token_counts": op5_token_counts}
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.ngram_join import op9_query
+
+    return op9_query(load(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op9_ngram_join": op9_ngram_join, "op1_suffix_dedup": op1_suffix_dedup, "op10_decontaminate": op10_decontaminate, "op8_token_files": op8_token_files, "op3_bpe": op3_bpe, "op5_token_counts": op5_token_counts}
 ORACLE_SQL: dict[str, str] = {}

@@ -110,11 +110,11 @@ class _Bucket:
     def settle(self, replies: pa.Table, owners: int) -> None:
         """Which documents have an exact copy, and which are sorted for all their copies."""
         keys, inverse, counts = np.unique(self.whole, return_inverse=True, return_counts=True)
-        repeated, first = masks(replies, keys, 64, owners)
+        grade, first = masks(replies, keys, 64, owners)
         order = np.argsort(inverse, kind="stable")
         lead = np.zeros(len(inverse), bool)
         lead[order[np.flatnonzero(np.diff(inverse[order], prepend=-1))]] = True
-        self.copied = (repeated | (counts > 1))[inverse]
+        self.copied = ((grade > 0) | (counts > 1))[inverse]
         self.stands = first[inverse] & lead
 
     def sampled(self) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +132,7 @@ class _Bucket:
         """Suffixes before a sampled position of a repeated name, and their prefixes' names."""
         at, names = self.sampled()
         keys, inverse, counts = np.unique(names >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
-        hit = (masks(replies, keys, bits, owners)[0] | (counts > 1))[inverse]
+        hit = ((masks(replies, keys, bits, owners)[0] > 0) | (counts > 1))[inverse]
         at = at[hit]
         v, _ = difference_cover(self.length)
         a, z = merged(np.maximum(at - v + 1, self.starts[self.of(at)]), at + 1)
@@ -144,7 +144,7 @@ class _Bucket:
     def removed(self, replies: pa.Table, at: np.ndarray, names: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray]:
         """The maximal runs of repeated bytes, as positions in the bucket, documents apart."""
         keys, inverse, counts = np.unique(names, return_inverse=True, return_counts=True)
-        hit = (masks(replies, keys, 64, owners)[0] | (counts > 1))[inverse]
+        hit = ((masks(replies, keys, 64, owners)[0] > 0) | (counts > 1))[inverse]
         full = np.flatnonzero(self.copied & (self.sizes >= self.length))
         a = np.concatenate([at[hit], self.starts[full]])
         z = np.concatenate([at[hit] + self.length, self.ends[full]])
