@@ -49,5 +49,11 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_query(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_ngram_join": op9_ngram_join, "op1_suffix_dedup": op1_suffix_dedup, "op10_decontaminate": op10_decontaminate, "op8_token_files": op8_token_files, "op3_bpe": op3_bpe, "op5_token_counts": op5_token_counts}
+def op2_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.edit_fingerprint import op2_query
+
+    return op2_query(load(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_edit_fingerprint": op2_edit_fingerprint, "op9_ngram_join": op9_ngram_join, "op1_suffix_dedup": op1_suffix_dedup, "op10_decontaminate": op10_decontaminate, "op8_token_files": op8_token_files, "op3_bpe": op3_bpe, "op5_token_counts": op5_token_counts}
 ORACLE_SQL: dict[str, str] = {}
