@@ -46,6 +46,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of what is stored by now.
+
+    It does so when the driver collects its garbage, which may be long after
+    several steps have filled the disks.
+    """
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bucket_count(df: DataFrame, per_bucket: int = BUCKET_BYTES) -> int:
     """How many buckets keep each near ``per_bucket`` bytes of stored input.
 
@@ -180,25 +192,27 @@ def chunks_by_bytes(sizes, limit: int):
         yield a, len(sizes)
 
 
-def _first_keys(batches):
-    least = None
+def _end_keys(batches):
+    least = most = None
     for b in batches:
         if b.num_rows:
-            k = b.column(0)[0].as_py()
-            least = k if least is None else min(least, k)
+            first, last = b.column(0)[0].as_py(), b.column(0)[b.num_rows - 1].as_py()
+            least = first if least is None else min(least, first)
+            most = last if most is None else max(most, last)
     if least is not None:
-        yield pa.RecordBatch.from_pydict({"key": [least]})
+        yield pa.RecordBatch.from_pydict({"least": [least], "most": [most]})
 
 
-def range_starts(keys: DataFrame, n: int) -> list:
-    """The smallest key of each of about ``n`` ranges of ``keys`` (one column ``key``).
+def key_ranges(keys: DataFrame, n: int) -> tuple[list, list]:
+    """The smallest and the largest key of each of about ``n`` ranges of ``keys`` (one column ``key``).
 
-    One value for each range comes to the driver, however many rows there are.
-    Every start is a key that occurs, and the first is the smallest of all.
+    Two values for each range come to the driver, however many rows there are.
+    Each is a key that occurs; equal keys are in one range.
     """
     kind = keys.dtypes[0][1]
     ranged = keys.repartitionByRange(n, "key").sortWithinPartitions("key")
-    return sorted({r[0] for r in ranged.mapInArrow(_first_keys, f"key {kind}").collect()})
+    found = sorted(tuple(r) for r in ranged.mapInArrow(_end_keys, f"least {kind}, most {kind}").collect())
+    return [x for x, _ in found], [y for _, y in found]
 
 
 def squeeze(raw: bytes) -> bytes:
@@ -226,25 +240,29 @@ def unpack_strings(blob: bytes) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(raw[4 + 4 * n :])])
 
 
-def _deal(starts, neighbours):
+def _deal(starts, ends, neighbours):
     import bisect
 
-    numeric = np.array(starts) if starts and not isinstance(starts[0], str) else None
+    text = bool(starts) and isinstance(starts[0], str)
+    low, high = (starts, ends) if text else (np.array(starts), np.array(ends))
 
     def run(batches):
         for b in batches:
             key = b.column(b.schema.get_field_index("key"))
-            if numeric is not None:
-                at = np.maximum(np.searchsorted(numeric, key.to_numpy(zero_copy_only=False), side="right") - 1, 0)
-                first = numeric[at] == key.to_numpy(zero_copy_only=False)
-            else:
+            if text:
                 keys = key.to_pylist()
                 at = np.array([max(bisect.bisect_right(starts, k) - 1, 0) for k in keys], np.int64)
                 first = np.array([starts[i] == k for i, k in zip(at, keys, strict=True)], bool)
-            yield with_columns(b, bucket=pa.array(at, pa.int32()), extra=pa.array(np.zeros(len(at), bool)))
-            if neighbours and first.any():
-                again = b.filter(pa.array(first))
-                yield with_columns(again, bucket=pa.array((at[first] - 1) % len(starts), pa.int32()), extra=pa.array(np.ones(again.num_rows, bool)))
+                last = np.array([ends[i] == k for i, k in zip(at, keys, strict=True)], bool)
+            else:
+                keys = key.to_numpy(zero_copy_only=False)
+                at = np.maximum(np.searchsorted(low, keys, side="right") - 1, 0)
+                first, last = low[at] == keys, high[at] == keys
+            yield with_columns(b, bucket=pa.array(at, pa.int32()), extra=pa.array(np.zeros(len(at), np.int8)))
+            for side, mask, step in (("next", first, -1), ("previous", last, 1)):
+                if side in neighbours and mask.any():
+                    again = b.filter(pa.array(mask))
+                    yield with_columns(again, bucket=pa.array((at[mask] + step) % len(starts), pa.int32()), extra=pa.array(np.full(again.num_rows, -step, np.int8)))
 
     return run
 
@@ -254,15 +272,16 @@ def with_columns(b: pa.RecordBatch, **more) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*b.columns, *more.values()], [*b.schema.names, *more])
 
 
-def ordered_blocks(rows: DataFrame, n: int, neighbours: bool = False) -> DataFrame:
+def ordered_blocks(rows: DataFrame, n: int, neighbours: tuple[str, ...] = ()) -> DataFrame:
     """Blocks of ``rows`` (with a ``key``) by key range: bucket k is wholly before k + 1.
 
-    With ``neighbours``, the rows of a bucket's first key also go, marked
-    ``extra``, to the bucket before it (the first bucket's to the last), so that
-    every row meets its successor in one bucket.
+    With ``"next"`` among the neighbours, the rows of a bucket's first key also
+    go to the bucket before it (the first bucket's to the last), so that every
+    row meets its successor in one bucket; with ``"previous"`` those of its last
+    key go to the bucket after it.  Column ``extra`` is 0 for a bucket's own
+    rows, 1 for those that follow them, -1 for those before them.
     """
-    starts = range_starts(rows.select("key"), n)
-    deal = _deal(starts, neighbours)
+    deal = _deal(*key_ranges(rows.select("key"), n), neighbours)
     return rows.mapInArrow(lambda batches: _pack(deal(batches)), "bucket int, payload binary")
 
 

@@ -190,7 +190,7 @@ def fingerprints_with_next(docs: DataFrame) -> DataFrame:
     An empty table gives no rows; other columns are not read.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return ordered_blocks(rows, bucket_count(docs, 8 << 20), neighbours=True).groupBy("bucket").applyInArrow(_with_next, OUT)
+    return ordered_blocks(rows, bucket_count(docs, 8 << 20), neighbours=("next",)).groupBy("bucket").applyInArrow(_with_next, OUT)
 
 
 def add_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:

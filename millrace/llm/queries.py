@@ -55,5 +55,11 @@ def op2_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_query(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_edit_fingerprint": op2_edit_fingerprint, "op9_ngram_join": op9_ngram_join, "op1_suffix_dedup": op1_suffix_dedup, "op10_decontaminate": op10_decontaminate, "op8_token_files": op8_token_files, "op3_bpe": op3_bpe, "op5_token_counts": op5_token_counts}
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.html_text import op6_query
+
+    return op6_query(load(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op6_html_text": op6_html_text, "op2_edit_fingerprint": op2_edit_fingerprint, "op9_ngram_join": op9_ngram_join, "op1_suffix_dedup": op1_suffix_dedup, "op10_decontaminate": op10_decontaminate, "op8_token_files": op8_token_files, "op3_bpe": op3_bpe, "op5_token_counts": op5_token_counts}
 ORACLE_SQL: dict[str, str] = {}
