@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from millrace.llm.common import bucket_count, checkpoint, from_blocks, pack_sorted, packed_documents, squeeze, unpack_sorted, unsqueeze
+from millrace.llm.common import bucket_count, checkpoint, from_blocks, pack_sorted, packed_documents, release, squeeze, unpack_sorted, unsqueeze
 
 SENT = "owner int, bucket int, payload binary"
 REPLY = "bucket int, owner int, grade binary, first binary"
@@ -24,8 +24,16 @@ def stored_blocks(docs: DataFrame) -> tuple[DataFrame, int]:
     The checkpoint keeps the partitioning, so later steps by bucket move only
     what they exchange, not the text.
     """
-    n = bucket_count(docs)
-    return checkpoint(packed_documents(docs, n).repartition(n, "bucket")), n
+    spark, n = docs.sparkSession, bucket_count(docs)
+    # a plan that adapts while it runs doesn't say how its result is partitioned
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        stored = checkpoint(packed_documents(docs, n).repartition(n, "bucket"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    release(spark)
+    return stored, n
 
 
 def bucket_documents(t: pa.Table) -> pa.Table:
