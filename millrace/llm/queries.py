@@ -61,5 +61,17 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_query(load(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op6_html_text": op6_html_text, "op2_edit_fingerprint": op2_edit_fingerprint, "op9_ngram_join": op9_ngram_join, "op1_suffix_dedup": op1_suffix_dedup, "op10_decontaminate": op10_decontaminate, "op8_token_files": op8_token_files, "op3_bpe": op3_bpe, "op5_token_counts": op5_token_counts}
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.toxicity import op7_query
+
+    return op7_query(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.pii import op4_query
+
+    return op4_query(load(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op4_pii": op4_pii, "op7_toxicity": op7_toxicity, "op6_html_text": op6_html_text, "op2_edit_fingerprint": op2_edit_fingerprint, "op9_ngram_join": op9_ngram_join, "op1_suffix_dedup": op1_suffix_dedup, "op10_decontaminate": op10_decontaminate, "op8_token_files": op8_token_files, "op3_bpe": op3_bpe, "op5_token_counts": op5_token_counts}
 ORACLE_SQL: dict[str, str] = {}
