@@ -58,7 +58,7 @@ def _joined(values: pa.Array, offsets: np.ndarray) -> list[str]:
     return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets), values), pa.scalar(" ", values.type)).to_pylist()
 
 
-def _join_ids(path: str, digest: bool):
+def _join_ids(path: str, digest: bool, lists: bool):
     def run(key, docs, replies):
         tok, special = tokenizer(path), special_tokens(path)
         pieces = pa.array([tok.id_to_token(i) or "" for i in range(tok.get_vocab_size())], pa.large_string())
@@ -75,27 +75,31 @@ def _join_ids(path: str, digest: bool):
             as_ids.update(zip(words, _joined(decimal.take(flat), offsets), strict=True))
             as_text.update(zip(words, _joined(pieces.take(flat), offsets), strict=True))
         t = from_blocks(docs.column("payload").to_pylist())
-        n, ids, decoded = [], [], []
+        n, ids, decoded, numbers = [], [], [], []
         for text in t.column("text").to_pylist():
             # a unit may have no ids at all (a stretch of spaces and marks that vanish)
             found = [u for u in units(text, special) if counts[u]]
             n.append(sum(map(counts.__getitem__, found)))
             i, d = " ".join(map(as_ids.__getitem__, found)), " ".join(map(as_text.__getitem__, found))
-            if digest:
+            if lists:
+                numbers.append(np.array(i.split(), np.int32))
+            if digest or lists:
                 i, d = hashlib.sha256(i.encode()).hexdigest(), hashlib.sha256(d.encode()).hexdigest()
             ids.append(i)
             decoded.append(d)
-        return pa.table({"doc_id": t.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids": pa.array(ids, pa.string()), "decoded": pa.array(decoded, pa.string())})
+        first = pa.array(numbers, pa.list_(pa.int32())) if lists else pa.array(ids, pa.string())
+        return pa.table({"doc_id": t.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids": first, "decoded": pa.array(decoded, pa.string())})
 
     return run
 
 
-def encode_documents(docs: DataFrame, path: str, digest: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, digest: bool = False, lists: bool = False) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded`` for each row of ``docs (doc_id, text, ...)``.
 
     ``ids`` are decimal and joined by one space; ``decoded`` is what the library
     makes of them, special tokens included; with ``digest`` both are lowercase
-    SHA-256.  A null text is empty: no tokens, two empty strings.  Repeated rows
+    SHA-256; with ``lists`` the ids are integers, and only ``decoded`` is a digest.
+    A null text is empty: no tokens, two empty strings.  Repeated rows
     and rows without a doc_id each give a row; an empty table gives none.  Other
     columns are not read.
     """
@@ -103,7 +107,7 @@ def encode_documents(docs: DataFrame, path: str, digest: bool = False) -> DataFr
     blocks = packed_documents(docs, n)
     sent = blocks.groupBy("bucket").applyInArrow(_send_words(path, n), "owner int, bucket int, words binary")
     replies = sent.groupBy("owner").applyInArrow(_encode_words(path), "bucket int, words binary, ids binary")
-    return blocks.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(_join_ids(path, digest), "doc_id long, n_tokens long, ids string, decoded string")
+    return blocks.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(_join_ids(path, digest, lists), f"doc_id long, n_tokens long, ids {'array<int>' if lists else 'string'}, decoded string")
 
 
 def op3_query(docs: DataFrame, path: str) -> DataFrame:
