@@ -28,6 +28,27 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package's modules, once for each Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "_millrace_shipped", False):
+        return
+    import io
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    top = Path(__file__).resolve().parents[1]
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for f in sorted([top / "__init__.py", *(top / "llm").glob("*.py")]):
+            z.write(f, str(f.relative_to(top.parent)))
+    target = Path(tempfile.mkdtemp(prefix="millrace-")) / "millrace_llm.zip"
+    target.write_bytes(packed.getvalue())
+    context.addPyFile(str(target))
+    context._millrace_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Keep the session's checkpoint folder; set one only where there is none."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -113,6 +134,7 @@ def _pack(batches):
 
 def pack_rows(df: DataFrame) -> DataFrame:
     """``(bucket int, payload binary)`` blocks of a frame that has a ``bucket`` column."""
+    ship(df.sparkSession)
     return df.mapInArrow(_pack, "bucket int, payload binary")
 
 
@@ -281,6 +303,7 @@ def ordered_blocks(rows: DataFrame, n: int, neighbours: tuple[str, ...] = ()) ->
     key go to the bucket after it.  Column ``extra`` is 0 for a bucket's own
     rows, 1 for those that follow them, -1 for those before them.
     """
+    ship(rows.sparkSession)
     deal = _deal(*key_ranges(rows.select("key"), n), neighbours)
     return rows.mapInArrow(lambda batches: _pack(deal(batches)), "bucket int, payload binary")
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bucket_count, chunks_by_bytes, from_blocks, mix64, ordered_blocks
+from millrace.llm.common import bucket_count, chunks_by_bytes, from_blocks, mix64, ordered_blocks, ship
 
 #: Samples of an octave; the first octave is the first steps themselves.
 SAMPLES = 32
@@ -197,6 +197,8 @@ def add_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint")
     """The frame with a fingerprint of its text column (null: of the empty text)."""
     import pandas as pd
 
+    ship(df.sparkSession)
+
     def run(batches):
         for s in batches:
             got: list[str] = []

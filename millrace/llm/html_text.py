@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bucket_count, from_blocks, ordered_blocks
+from millrace.llm.common import bucket_count, from_blocks, ordered_blocks, ship
 
 # A comment, an element whose content is no text, a declaration or a tag.
 _TOKEN = re.compile(
@@ -209,6 +209,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     Repeated rows each give a row; an empty table gives none; other columns are
     not read.
     """
+    ship(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     keyed = rows.mapInArrow(_keyed, "key string, page_id long, url string, html string")
     return ordered_blocks(keyed, bucket_count(pages), neighbours=("next", "previous")).groupBy("bucket").applyInArrow(_extract, OUT)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import chunks_by_bytes
+from millrace.llm.common import chunks_by_bytes, ship
 
 #: Bytes of text that one library call gets.
 BATCH_BYTES = 1 << 20
@@ -71,6 +71,7 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", out: str = "n_tok
     repeated rows each get their count; an empty table stays empty.  A column
     already named ``out`` is replaced.
     """
+    ship(df.sparkSession)
     df = df.drop(out) if out in df.columns and out != text else df
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.LongType())])
 

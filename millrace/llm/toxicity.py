@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import RollingHash, chunks_by_bytes, mix64
+from millrace.llm.common import RollingHash, chunks_by_bytes, mix64, ship
 
 #: Bounds of the labelled sample that the model is fitted on.
 SAMPLE_ROWS = 6000
@@ -310,6 +310,7 @@ def score(df: DataFrame, model: Model, spans: bool = True) -> DataFrame:
     Repeated rows get equal results; an empty table stays empty; existing
     columns of the added names are replaced.
     """
+    ship(df.sparkSession)
     df = df.drop("score", *["spans"] * spans)
     fields = [*df.schema.fields, T.StructField("score", T.DoubleType())] + ([T.StructField("spans", SPANS)] if spans else [])
 
