@@ -8,10 +8,10 @@ orders; those that pass all filters are compared in full.
 
 Links are only needed up to connection.  In each posting list all classes are
 first compared with one pivot, the class with the fewest unshared tokens, which
-is the source of its copies where that is in the table; only pairs of classes
-that are still apart are then compared with each other.  So a group of copies
-costs comparisons in proportion to its size, and no link between different
-components is lost.
+is the source of its copies where that is in the table; only classes that are
+still apart are then compared with each other, chunk by chunk.  So a group of
+copies of one source costs comparisons in proportion to its size, and no link
+between different components is lost.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import RollingHash, checkpoint, chunks_by_bytes, mix64
+from millrace.llm.common import RollingHash, checkpoint, chunks_by_bytes, mix64, release
 from millrace.llm.exchange import SENT, answers, bucket_documents, masks, send, stored_blocks
 
 SHINGLE = 4
@@ -159,6 +159,84 @@ def _linked(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", "ca", "cb").mapInArrow(_verify(percent), "a binary, b binary")
 
 
+#: Classes of a chunk: a task compares two chunks.
+CHUNK = 50
+
+
+def overlaps(lists: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of some lists of distinct values share."""
+    n = len(lists)
+    owner = np.repeat(np.arange(n), [len(x) for x in lists])
+    values, inverse, counts = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    place = np.cumsum(counts > 1) - 1
+    many = (counts > 1)[inverse]
+    owner, column = owner[many], place[inverse[many]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((n, n), np.float64)
+    for base in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        a, z = np.searchsorted(column, [base, base + 2048])
+        x = np.zeros((n, 2048), np.float32)
+        x[owner[a:z], column[a:z] - base] = 1
+        out += x @ x.T
+    return out.astype(np.int64)
+
+
+def _compare(percent: int):
+    def run(key, t):
+        keys, roots = t.column("set_key").to_pylist(), t.column("root").to_pylist()
+        sets = [_set_of(x) for x in t.column("content").to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        names = {r: i for i, r in enumerate(dict.fromkeys(roots))}
+        group = np.array([names[r] for r in roots])
+        maybe = np.triu(group[:, None] != group[None, :])
+        maybe &= np.minimum.outer(sizes, sizes) * 100 >= np.maximum.outer(sizes, sizes) * percent
+        for orders in zip(*t.column("orders").to_pylist(), strict=True):
+            maybe &= overlaps([np.unique(np.array(x, np.int32)) for x in orders]) > 0
+        pairs: list[tuple[bytes, bytes]] = []
+        if maybe.any():
+            both = overlaps(sets)
+            above = {i: i for i in names.values()}
+
+            def top(i):
+                while above[i] != i:
+                    i = above[i]
+                return i
+
+            for i, j in np.argwhere(maybe & (100 * both >= percent * (np.add.outer(sizes, sizes) - both))).tolist():
+                x, y = top(group[i]), top(group[j])
+                if x != y:
+                    above[max(x, y)] = min(x, y)
+                    pairs.append((keys[i], keys[j]))
+        return pa.table({"a": pa.array([x for x, _ in pairs], pa.binary()), "b": pa.array([y for _, y in pairs], pa.binary())})
+
+    return run
+
+
+def _linked_apart(open_: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Links ``(a, b)`` between classes of different roots that share a posting list.
+
+    ``open_`` has the postings ``(token, set_key, root, a)`` of tokens whose
+    classes are not all connected, with each token's least class.  Connected by
+    such tokens, the classes fall into groups; a group is cut into chunks of
+    about ``CHUNK``, of one root where that has so many, else of mixed ones, and
+    a task compares two chunks, unless both are of one root.
+    """
+    groups = components(open_.where("set_key != a").select("a", F.col("set_key").alias("b")))
+    nodes = open_.select("set_key", "root").distinct().join(groups.select(F.col("node").alias("set_key"), F.col("root").alias("top")), "set_key", "left").select("set_key", "root", F.coalesce("top", "set_key").alias("top"))
+    nodes = checkpoint(nodes)
+    sizes = nodes.groupBy("top", "root").count()
+    kinds = sizes.select("top", "root", F.when(F.col("count") > CHUNK, F.hex("root")).otherwise(F.lit("")).alias("kind"), "count")
+    counts = kinds.groupBy("top", "kind").agg(F.ceil(F.sum("count") / CHUNK).alias("parts"))
+    dealt = nodes.join(kinds.drop("count"), ["top", "root"]).join(counts, ["top", "kind"])
+    dealt = checkpoint(dealt.select("set_key", "root", "top", "kind", F.concat_ws(":", "kind", F.pmod(F.xxhash64("set_key"), "parts").cast("string")).alias("chunk")))
+    chunks = counts.select("top", "kind", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.concat_ws(":", "kind", k.cast("string")))).alias("other"))
+    chunks = chunks.groupBy("top").agg(F.collect_list(F.struct("kind", "other")).alias("others"))
+    jobs = dealt.join(chunks, "top").select("set_key", "root", "top", "kind", "chunk", F.explode("others").alias("o")).where("kind != o.kind or kind = ''")
+    jobs = jobs.select("set_key", "root", F.concat_ws("/", F.hex("top"), F.least("chunk", "o.other"), F.greatest("chunk", "o.other")).alias("job"))
+    return jobs.join(classes.select("set_key", "orders", "content"), "set_key").groupBy("job").applyInArrow(_compare(percent), "a binary, b binary")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for the nodes of undirected edges ``(a, b)``: the least node connected.
 
@@ -195,7 +273,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     bits = min(64, 32 + max(1, n - 1).bit_length())
     tokens, prefixes = _steps(size, percent, bits, n)
     by = blocks.groupBy("bucket")
-    rows = checkpoint(by.cogroup(answers(by.applyInArrow(tokens, SENT)).groupBy("bucket")).applyInArrow(prefixes, ROWS))
+    replies = answers(by.applyInArrow(tokens, SENT))
+    release(docs.sparkSession)
+    rows = checkpoint(by.cogroup(replies.groupBy("bucket")).applyInArrow(prefixes, ROWS))
+    release(docs.sparkSession)
     classes = checkpoint(rows.where("content is not null").groupBy("set_key").agg(*(F.first(c).alias(c) for c in ("n_shingles", "lonely", "tokens", "orders", "content"))))
     postings = classes.select("set_key", "lonely", F.explode("tokens").alias("token"))
     heads = postings.groupBy("token").agg(F.min(F.struct("lonely", "set_key")).alias("head"), F.count("*").alias("n")).where("n > 1").select("token", F.col("head.set_key").alias("pivot"))
@@ -203,11 +284,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     star = checkpoint(held.where("set_key != pivot").select(F.least("set_key", "pivot").alias("a"), F.greatest("set_key", "pivot").alias("b")).distinct())
     links = checkpoint(_linked(star, classes, percent))
     joined = held.select("token", "set_key").join(components(links).withColumnRenamed("node", "set_key"), "set_key", "left").select("token", "set_key", F.coalesce("root", "set_key").alias("root"))
-    apart = joined.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("token")
-    open_ = checkpoint(joined.join(apart, "token", "left_semi"))
-    one, two = open_.select("token", F.col("set_key").alias("a"), F.col("root").alias("ra")), open_.select("token", F.col("set_key").alias("b"), F.col("root").alias("rb"))
-    rest = one.join(two, "token").where("a < b and ra != rb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    roots = components(links.unionByName(checkpoint(_linked(rest, classes, percent))))
+    apart = joined.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("set_key").alias("a")).where("x != y").select("token", "a")
+    open_ = checkpoint(joined.join(apart, "token"))
+    roots = components(links.unionByName(checkpoint(_linked_apart(open_, classes, percent))))
 
     members = rows.select("doc_id", "set_key", "n_shingles")
     least = members.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"))
