@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from millrace.errors import ConsistencyViolation, SchemaViolation
 from millrace.sources.catalog import TableDef, checked
+from millrace.sources.storage import stored
 
 
 def change_schema(table: TableDef) -> T.StructType:
@@ -73,42 +74,43 @@ def delete(table: TableDef, keys: DataFrame) -> DataFrame:
 
 
 def images(table: TableDef, batch: DataFrame) -> DataFrame:
-    """``(seq, step, key..., before, after)``: an edit that moves a key is a remove and an add."""
-    bad = batch.where(~F.col("op").isin("add", "remove", "edit") | F.col("op").isNull() | (F.col("op").isin("remove", "edit") & F.col("old").isNull()) | (F.col("op").isin("add", "edit") & F.col("new").isNull()))
-    if bad.limit(1).count():
-        raise SchemaViolation(f"{table.name}: a change lacks its operation or its rows")
+    """``(seq, step, __key..., before, after, bad)``: an edit that moves a key is a remove and an add.
+
+    ``bad`` marks a change without a known operation or the rows that it needs.
+    """
+    op = F.col("op")
+    bad = op.isNull() | ~op.isin("add", "remove", "edit") | (op.isin("remove", "edit") & F.col("old").isNull()) | (op.isin("add", "edit") & F.col("new").isNull())
     moved = F.lit(False)
     for c in table.key:
         moved = moved | ~F.col(f"old.{c}").eqNullSafe(F.col(f"new.{c}"))
-    row = batch.schema["new"].dataType
-    none = F.lit(None).cast(row)
+    none = F.lit(None).cast(batch.schema["new"].dataType)
     out = lambda before, after, step: F.struct(F.lit(step).alias("step"), before.alias("before"), after.alias("after"))
-    parts = F.when(F.col("op") == "add", F.array(out(none, F.col("new"), 1))).when(F.col("op") == "remove", F.array(out(F.col("old"), none, 0)))
+    parts = F.when(bad, F.array(out(F.col("old"), F.col("new"), 0))).when(op == "add", F.array(out(none, F.col("new"), 1))).when(op == "remove", F.array(out(F.col("old"), none, 0)))
     parts = parts.when(moved, F.array(out(F.col("old"), none, 0), out(none, F.col("new"), 1))).otherwise(F.array(out(F.col("old"), F.col("new"), 0)))
-    flat = batch.select("seq", F.explode(parts).alias("p")).select("seq", "p.step", "p.before", "p.after")
-    return flat.select("seq", "step", *(F.coalesce(F.col(f"before.{c}"), F.col(f"after.{c}")).alias(f"__{c}") for c in table.key), "before", "after")
+    flat = batch.select("seq", bad.alias("bad"), F.explode(parts).alias("p"))
+    return flat.select("seq", "p.step", *(F.coalesce(F.col(f"p.before.{c}"), F.col(f"p.after.{c}")).alias(f"__{c}") for c in table.key), "p.before", "p.after", "bad")
 
 
 def net(table: TableDef, batch: DataFrame) -> DataFrame:
-    """``(__key..., before, after)``: one row for each key that the batch changes, checked against the table.
+    """``(__key..., before, after)``, stored: one row for each key that the batch changes, checked against the table.
 
     Within a batch, changes of one key follow ``seq``.  A batch that adds a key
     that is there, or removes or edits one that isn't, is refused whole.
+    ``before`` is the table's own row, whatever the change says it was.
     """
-    keys = [f"__{c}" for c in table.key]
-    flat = images(table, batch)
+    keys, row = [f"__{c}" for c in table.key], batch.schema["new"].dataType
     w = Window.partitionBy(*keys).orderBy("seq", "step")
-    flat = flat.withColumn("__i", F.row_number().over(w)).withColumn("__there", F.lag(F.col("after").isNotNull()).over(w))
-    have = table.df.select(*(F.col(f"`{c}`").alias(f"__{c}") for c in table.key), F.lit(True).alias("__base"))
-    known = flat.join(have, keys, "left").withColumn("__there", F.coalesce("__there", "__base", F.lit(False)))
-    wrong = known.where(F.col("__there") != F.col("before").isNotNull()).select(*keys).limit(3).collect()
-    if wrong:
-        raise ConsistencyViolation(f"{table.name}: {[tuple(r) for r in wrong]} added although there, or removed or edited although not")
-    # the first image is the table's own row, whatever the change says it was
-    base = table.df.select(*(F.col(f"`{c}`").alias(f"__{c}") for c in table.key), F.struct(*(F.col(f"`{c}`") for c in table.columns)).alias("__old"))
-    last = flat.groupBy(*keys).agg(F.max_by(F.struct(F.col("after").alias("row")), F.struct("seq", "step")).alias("x")).select(*keys, F.col("x.row").alias("after"))
-    joined = last.join(base, keys, "left").select(*keys, F.col("__old").cast(batch.schema["new"].dataType).alias("before"), "after")
-    return joined.where("before is not null or after is not null").where(~F.col("before").eqNullSafe(F.col("after")))
+    flat = images(table, batch).withColumn("__there", F.lag(F.col("after").isNotNull()).over(w))
+    base = table.df.select(*(F.col(f"`{c}`").alias(f"__{c}") for c in table.key), F.struct(*(F.col(f"`{c}`") for c in table.columns)).cast(row).alias("__old"))
+    known = flat.join(base, keys, "left")
+    wrong = F.coalesce("__there", F.col("__old").isNotNull()) != F.col("before").isNotNull()
+    by_key = known.groupBy(*keys).agg(F.max_by(F.struct(F.col("after").alias("row")), F.struct("seq", "step")).alias("x"), F.first("__old").alias("before"), F.max("bad").alias("bad"), F.max(wrong).alias("wrong"))
+    checked_ = stored(by_key.select(*keys, "before", F.col("x.row").alias("after"), "bad", "wrong"))
+    for r in checked_.where("bad or wrong").select("bad", *keys).limit(3).collect():
+        if r[0]:
+            raise SchemaViolation(f"{table.name}: a change of {tuple(r)[1:]} lacks its operation or its rows")
+        raise ConsistencyViolation(f"{table.name}: {tuple(r)[1:]} is added although there, or removed or edited although not")
+    return checked_.select(*keys, "before", "after").where("before is not null or after is not null").where(~F.col("before").eqNullSafe(F.col("after")))
 
 
 def applied(table: TableDef, changed: DataFrame) -> DataFrame:

@@ -41,6 +41,8 @@ class Lowering:
     strict: bool = True
     by_byte: bool = False
     footprint: list[tuple[TableDef, DataFrame, str | None]] | None = field(default=None, repr=False)
+    #: Read only the children of the parents at hand; worth a join where those are few.
+    narrow: bool = False
 
     # --- checks -----------------------------------------------------------------
 
@@ -236,16 +238,19 @@ class Lowering:
         t = self.catalog[q.table]
         keys = [_unique("c") for _ in r.child]
         named = [F.col(f"`{c}`").alias(k) for c, k in zip(r.child, keys, strict=True)]
+        rows = self.rows(q)
+        if self.narrow:
+            here = [_unique("h") for _ in r.parent]
+            parents = df.select(*(F.col(f"`{p}`").alias(h) for p, h in zip(r.parent, here, strict=True))).distinct()
+            rows = rows.join(parents, [rows[f"`{c}`"] == parents[h] for c, h in zip(r.child, here, strict=True)], "left_semi")
         if q.precomputed:
             value = [c for c in t.columns if c not in r.child]
-            child = self.rows(q).select(*named, F.col(f"`{value[-1]}`").alias(name))
+            child = rows.select(*named, F.col(f"`{value[-1]}`").alias(name))
         elif q.aggregate is not None:
-            rows = self.rows(q)
             if self.footprint is not None:
                 self.footprint.append((t, rows, None))
             child = aggregated(rows, q.aggregate, t, list(dict.fromkeys(r.child))).select(*named, F.col(q.aggregate.kind).alias(name))
         else:
-            rows = self.rows(q)
             if q.limit == 0:
                 rows = rows.where(F.lit(False))
             order, rank = completed(q.order_by, t), _unique("o")
@@ -290,6 +295,7 @@ class Lowering:
             df = aggregated(self.rows(q, keep), q.aggregate, t, list(q.group_by))
             return df if q.having is None else df.where(self.column(q.having, TableDef(q.table, df, tuple(df.columns)), None))
         df = first_rows(self.rows(q, keep), q, t)
+        self.narrow = self.narrow or keep is not None
         out = self.nested(q, df)
         if ordered:
             out = out.orderBy(*sort_columns(completed(q.order_by, t)))

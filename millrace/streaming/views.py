@@ -105,7 +105,7 @@ class View:
         new = stored(self._fresh(catalog, keep=touched))
         old = self.snapshot.join(touched, self.key, "left_semi")
         delta = stored(ch.difference(old, new, self.key))
-        self.snapshot = stored(self.snapshot.join(touched, self.key, "left_anti").unionByName(new))
+        self.snapshot = self.engine.settled(self.snapshot.join(touched, self.key, "left_anti").unionByName(new))
         return delta
 
     def _may_matter(self, changed: dict[str, DataFrame]) -> bool:
@@ -224,8 +224,9 @@ def touched_rows(q: Query, changed: dict[str, DataFrame], before: Catalog, after
 class Engine:
     """Tables, queries over them, and views that follow their changes."""
 
-    def __init__(self, spark: SparkSession, catalog: Catalog | None = None, strict: bool = True):
-        self.spark, self.catalog, self.strict = spark, catalog or Catalog(), strict
+    def __init__(self, spark: SparkSession, catalog: Catalog | None = None, strict: bool = True, compact_every: int = 8):
+        self.spark, self.catalog, self.strict, self.compact_every = spark, catalog or Catalog(), strict, compact_every
+        self.batches = 0
         self.views: dict[str, View] = {}
         self.last_batch: int | None = None
 
@@ -278,9 +279,9 @@ class Engine:
         if batch_id is not None and self.last_batch is not None and batch_id <= self.last_batch:
             return {}
         began = time.monotonic()
-        changed = {n: stored(ch.net(self.catalog[n], df)) for n, df in batch.items()}
+        changed = {n: ch.net(self.catalog[n], df) for n, df in batch.items()}
         changed = {n: c for n, c in changed.items() if c.limit(1).count()}
-        after = self.catalog.replaced({n: stored(ch.applied(self.catalog[n], c)) for n, c in changed.items()})
+        after = self.catalog.replaced({n: self.settled(ch.applied(self.catalog[n], c)) for n, c in changed.items()})
         kept = {n: (v.snapshot, v.state) for n, v in self.views.items()}
         out: dict[str, DataFrame] = {}
         try:
@@ -294,18 +295,27 @@ class Engine:
                 self.views[n].snapshot, self.views[n].state = snapshot, state
             raise
         self.catalog, self.last_batch = after, batch_id if batch_id is not None else self.last_batch
+        self.batches += 1
         for name, delta in out.items():
             for listener in self.views[name].listeners:
                 listener(delta)
         return out
 
+    def settled(self, df: DataFrame) -> DataFrame:
+        """Tables and snapshots after a batch: the frame before it, less the rows that changed, and their new images.
+
+        These layers are small beside the frame below them.  Every
+        ``compact_every`` batches the whole is stored, so that plans stay short.
+        """
+        return stored(df) if self.batches % self.compact_every == self.compact_every - 1 else df
+
     def transaction(self) -> Transaction:
         """Stage several writes and apply them as one batch."""
         return Transaction(self)
 
     def fork(self) -> Engine:
         """Another engine with the same tables and no views; frames don't change, so nothing is copied."""
-        return Engine(self.spark, Catalog(dict(self.catalog.tables)), self.strict)
+        return Engine(self.spark, Catalog(dict(self.catalog.tables)), self.strict, self.compact_every)
 
     def footprint(self, q: Query | Builder) -> DataFrame:
         """``(table, key, n)``: the base rows that a query's result rests on, keys as JSON; witnesses of permission gates don't count."""
