@@ -25,7 +25,7 @@ def sql():
 
 
 def plain(v):
-    if v is None or v is pd.NaT or isinstance(v, float) and math.isnan(v):
+    if v is None or v is pd.NA or v is pd.NaT or isinstance(v, float) and math.isnan(v):
         return None
     return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
