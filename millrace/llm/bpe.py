@@ -104,7 +104,7 @@ def encode_documents(docs: DataFrame, path: str, digest: bool = False, lists: bo
     columns are not read.
     """
     n = bucket_count(docs)
-    blocks = packed_documents(docs, n)
+    blocks = packed_documents(docs, n).repartition(n, "bucket")
     sent = blocks.groupBy("bucket").applyInArrow(_send_words(path, n), "owner int, bucket int, words binary")
     replies = sent.groupBy("owner").applyInArrow(_encode_words(path), "bucket int, words binary, ids binary")
     return blocks.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(_join_ids(path, digest, lists), f"doc_id long, n_tokens long, ids {'array<int>' if lists else 'string'}, decoded string")

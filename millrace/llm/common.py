@@ -9,7 +9,9 @@ executor was lost makes the same blocks.
 
 from __future__ import annotations
 
+import ctypes
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,16 @@ from pyspark.sql import functions as F
 #: Bytes of stored input that one bucket should hold.
 BUCKET_BYTES = 4 << 20
 #: Bytes of rows that a map task gathers before it ships its blocks.
-FLUSH_BYTES = 32 << 20
+FLUSH_BYTES = 16 << 20
+#: Bytes of an Arrow batch that Spark hands to Python.
+ARROW_BYTES = 8 << 20
+
+
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018  only GNU's has it
+except (OSError, AttributeError):
+    _libc = None
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,9 +39,24 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def trim() -> None:
+    """Give memory that is free back to the system: idle workers keep their processes."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package's modules, once for each Spark context."""
+    """Give the executors this package's modules, once for each Spark context.
+
+    Batches handed to Python hold whole texts, so the session's limit of their
+    bytes is lowered to ``ARROW_BYTES`` where it is higher.
+    """
     context = spark.sparkContext
+    most = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").strip().lower()
+    unit = {"k": 10, "m": 20, "g": 30}.get(most.rstrip("b")[-1:], 0)
+    if int(re.match(r"-?\d+", most)[0]) << unit > ARROW_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     if getattr(context, "_millrace_shipped", False):
         return
     import io
@@ -104,6 +130,7 @@ def to_block(table: pa.Table | pa.RecordBatch) -> bytes:
 
 def from_blocks(blobs) -> pa.Table:
     """The rows of several blocks."""
+    trim()
     d = zstandard.ZstdDecompressor()
     return pa.concat_tables(pa.ipc.open_stream(d.decompress(b)).read_all() for b in blobs).combine_chunks()
 
@@ -128,6 +155,7 @@ def _pack(batches):
         if size >= FLUSH_BYTES:
             yield flush()
             held, size = [], 0
+            trim()
     if held:
         yield flush()
 
@@ -172,7 +200,7 @@ class RollingHash:
 
     _tables: dict = {}
 
-    def __init__(self, seed: int):
+    def __init__(self, seed: int = 17):
         rng = np.random.default_rng(seed)
         self.values = rng.integers(0, 1 << 64, 256, dtype=np.uint64)
         self.base = int(rng.integers(0, 1 << 62)) * 8 + 5
@@ -181,12 +209,12 @@ class RollingHash:
     def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         have = self._tables.get(self.seed)
         if have is None or len(have[0]) < n:
-            m = 1 << max(16, (n - 1).bit_length())
+            m = -(-n // 65536) * 65536
             up, down = np.empty(m, np.uint64), np.empty(m, np.uint64)
             for out, b in ((up, self.base), (down, pow(self.base, -1, 1 << 64))):
                 out[0], k, step = 1, 1, b
                 while k < m:
-                    out[k : 2 * k] = out[:k] * np.uint64(step)
+                    out[k : 2 * k] = out[: min(k, m - k)] * np.uint64(step)
                     step, k = step * step % (1 << 64), 2 * k
             have = self._tables[self.seed] = (up, down)
         return have
@@ -305,7 +333,7 @@ def ordered_blocks(rows: DataFrame, n: int, neighbours: tuple[str, ...] = ()) ->
     """
     ship(rows.sparkSession)
     deal = _deal(*key_ranges(rows.select("key"), n), neighbours)
-    return rows.mapInArrow(lambda batches: _pack(deal(batches)), "bucket int, payload binary")
+    return rows.mapInArrow(lambda batches: _pack(deal(batches)), "bucket int, payload binary").repartition(n, "bucket")
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

@@ -31,13 +31,13 @@ SHINGLE = 4
 PERCENT = 85
 #: Seeds of the hash orders.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-PART = 1 << 21
+PART = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    h, out = RollingHash(29), np.empty(len(starts), np.uint64)
+    h, out = RollingHash(), np.empty(len(starts), np.uint64)
     for base in range(0, len(data), PART):
         a, z = np.searchsorted(starts, [base, base + PART])
         if z > a:
@@ -50,7 +50,7 @@ def shingles(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.nd
     """(document, token) of the distinct shingles of each text, sorted."""
     docs, tokens, base = [], [], 0
     weights = [np.uint64(2 * (mix64(np.array([size * 1000 + i], np.uint64))[0] >> np.uint64(1)) + np.uint64(1)) for i in range(size)]
-    for a, z in chunks_by_bytes([len(x) + 1 for x in texts], PART):
+    for a, z in chunks_by_bytes([len(x) + 1 for x in texts], 4 * PART):
         data = np.frombuffer(b" ".join(x.lower() for x in texts[a:z]) + b" ", np.uint8)
         bounds = np.cumsum([len(x) + 1 for x in texts[a:z]])
         gap = np.r_[True, _SPACE[data], True]

@@ -38,7 +38,7 @@ from millrace.llm.exchange import SENT, answers, bucket_documents, masks, send,
 
 LENGTH = 400
 #: Bytes whose prefix sums are held at once.
-PART = 1 << 21
+PART = 1 << 19
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -97,7 +97,7 @@ class _Bucket:
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
         self.data = np.frombuffer(b"".join(texts), np.uint8)
-        self.texts, self.hash = texts, RollingHash(17)
+        self.texts, self.hash = texts, RollingHash()
         self.whole = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in texts], np.uint64)
 
     def of(self, at: np.ndarray) -> np.ndarray:

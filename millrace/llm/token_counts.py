@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import chunks_by_bytes, ship
+from millrace.llm.common import chunks_by_bytes, ship, trim
 
 #: Bytes of text that one library call gets.
 BATCH_BYTES = 1 << 20
@@ -79,6 +79,7 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", out: str = "n_tok
         for b in batches:
             texts = [t or "" for t in b.column(b.schema.get_field_index(text)).to_pylist()]
             counts = pa.array(_count(path, texts), pa.int64())
+            trim()
             yield pa.RecordBatch.from_arrays([*b.columns, counts], [*b.schema.names, out])
 
     return df.mapInArrow(run, schema)

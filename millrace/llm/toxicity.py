@@ -21,18 +21,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import RollingHash, chunks_by_bytes, mix64, ship
+from millrace.llm.common import RollingHash, chunks_by_bytes, mix64, ship, trim
 
 #: Bounds of the labelled sample that the model is fitted on.
 SAMPLE_ROWS = 6000
-SAMPLE_BYTES = 24 << 20
+SAMPLE_BYTES = 16 << 20
 #: Features kept at most, and the documents and the lift that one needs.
 FEATURES, LEAST_DOCS, LIFT = 4000, 5, 4.0
 #: Byte lengths of word beginnings that are features.
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: Words on either side of a training window's centre.
 REACH = 6
-PART = 1 << 21
+PART = 1 << 19
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
@@ -55,7 +55,7 @@ def words_of(texts: list[bytes]) -> Words:
     inside = np.r_[False, _WORD[data]]
     start = np.flatnonzero(~inside[:-1] & inside[1:])
     end = np.flatnonzero(inside[:-1] & ~inside[1:])
-    h = RollingHash(43)
+    h = RollingHash()
     marks = np.zeros((len(start), 1 + len(BEGINNINGS)), np.uint64)
     for base in range(0, len(data), PART):
         a, z = np.searchsorted(start, [base, base + PART])
@@ -135,7 +135,7 @@ class Model:
     def documents(self, texts: list[bytes]) -> list[tuple[list[float], list[tuple[int, int]], int]]:
         """For each text: marginals and byte bounds of its words with features, and its number of words."""
         out: list = []
-        for a, z in chunks_by_bytes([len(x) + 1 for x in texts], PART):
+        for a, z in chunks_by_bytes([len(x) + 1 for x in texts], 2 * PART):
             w = words_of(texts[a:z])
             hit, factor = self.scores(w.marks)
             total = np.bincount(w.doc, minlength=z - a)
@@ -205,28 +205,36 @@ def _fit_chain(ids: np.ndarray, labels: np.ndarray, n: int, rounds: int = 150) -
     return theta[:n], float(theta[n + 1]), theta[n + 2 :].reshape(2, 2)
 
 
+def _document_counts(texts: list[bytes], among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Features and the number of texts that have each; of those ``among`` alone, zeros included."""
+    keys, counts = (np.zeros(0, np.uint64), np.zeros(0, np.int64)) if among is None else (among, np.zeros(len(among), np.int64))
+    for a, z in chunks_by_bytes([len(x) + 1 for x in texts], 2 * PART):
+        w = words_of(texts[a:z])
+        doc, mark = np.repeat(w.doc, w.marks.shape[1]), w.marks.reshape(-1)
+        keep = mark != 0 if among is None else np.isin(mark, among)
+        doc, mark = doc[keep], mark[keep]
+        order = np.lexsort((mark, doc))
+        doc, mark = doc[order], mark[order]
+        once = mark[np.r_[True, (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])]] if len(mark) else mark
+        k, c = np.unique(once, return_counts=True)
+        if among is not None:
+            counts[np.searchsorted(keys, k)] += c
+            continue
+        both, inverse = np.unique(np.concatenate([keys, k]), return_inverse=True)
+        counts = np.bincount(inverse, np.concatenate([counts, c]), len(both)).astype(np.int64)
+        keys = both
+    return keys, counts
+
+
 def fit(texts: list[bytes], toxic: np.ndarray) -> Model:
     """The model of labelled texts; without both kinds of label, the constant base rate."""
     rate = (toxic.sum() + 0.5) / (len(toxic) + 1)
     empty = Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, np.zeros((2, 2)), np.array([math.log(rate / (1 - rate)) if len(toxic) else -5.0, 0, 0, 0]))
     if not len(toxic) or toxic.min() == toxic.max():
         return empty
-    seen = [[], []]
-    for a, z in chunks_by_bytes([len(x) + 1 for x in texts], PART):
-        w = words_of(texts[a:z])
-        doc = np.repeat(w.doc, w.marks.shape[1])
-        mark = w.marks.reshape(-1)
-        order = np.lexsort((mark, doc))
-        doc, mark = doc[order], mark[order]
-        new = np.r_[True, (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])] & (mark != 0)
-        for label in (0, 1):
-            seen[label].append(mark[new & (toxic[a + doc] == label)])
-    (k0, c0), (k1, c1) = (np.unique(np.concatenate(s), return_counts=True) for s in seen)
+    k1, c1 = _document_counts([t for t, y in zip(texts, toxic, strict=True) if y == 1])
     k1, c1 = k1[c1 >= LEAST_DOCS], c1[c1 >= LEAST_DOCS]
-    other = np.zeros(len(k1), np.int64)
-    if len(k0) and len(k1):
-        at = np.minimum(np.searchsorted(k0, k1), len(k0) - 1)
-        other = np.where(k0[at] == k1, c0[at], 0)
+    _, other = _document_counts([t for t, y in zip(texts, toxic, strict=True) if y == 0], k1)
     n1, n0 = toxic.sum(), len(toxic) - toxic.sum()
     lift = (c1 / n1) / ((other + 0.5) / n0)
     gain = c1 * np.log(np.maximum(lift, 1e-9))
@@ -239,7 +247,7 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> Model:
 
     ids, labels = [], []
     rng = np.random.default_rng(7)
-    for a, z in chunks_by_bytes([len(x) + 1 for x in texts], PART):
+    for a, z in chunks_by_bytes([len(x) + 1 for x in texts], 2 * PART):
         w = words_of(texts[a:z])
         at = np.minimum(np.searchsorted(keys, w.marks), len(keys) - 1)
         ids_all = np.where(keys[at] == w.marks, at, len(keys))
@@ -325,6 +333,7 @@ def score(df: DataFrame, model: Model, spans: bool = True) -> DataFrame:
                     bad = [(x, y, q) for (x, y), q in zip(bounds, p, strict=True) if q >= 0.5]
                     rows.append([{"start": len(text[:x].decode()), "end": len(text[:y].decode()), "p": q} for x, y, q in bad])
                 more.append(pa.array(rows, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))))
+            trim()
             yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "score", "spans"][: len(b.columns) + len(more)])
 
     return df.mapInArrow(run, T.StructType(fields))
