@@ -50,7 +50,7 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window of words with the benchmark."""
-    made = ["n_words", "n_hit", "n_items", "items", "spans", "contaminated"]
+    made = ["n_words", "n_hit", "n_items", "items", "spans", "contaminated", "__row"]
     return _aside(docs, made, lambda d: contamination(d, load(spark, sf_dir, "benchmark")).where("not contaminated"))
 
 

@@ -71,7 +71,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     item without words matches nothing, one without an item_id counts as a hit
     but not as an item; an empty benchmark leaves all documents clean.
     """
-    made = ["n_words", "n_hit", "n_items", "items", "spans", "contaminated"]
+    made = ["n_words", "n_hit", "n_items", "items", "spans", "contaminated", "__row"]
     docs = docs.select(*(c for c in docs.columns if c not in made), F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce("text", F.lit("")))).alias("__row"))
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     items = items.select("item_id", "w", F.least(F.size("w"), F.lit(window)).alias("length"))

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.common import bucket_count, chunks_by_bytes, from_blocks, mix64, ordered_blocks, ship
 
@@ -194,20 +195,18 @@ def fingerprints_with_next(docs: DataFrame) -> DataFrame:
 
 
 def add_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
-    """The frame with a fingerprint of its text column (null: of the empty text)."""
-    import pandas as pd
-
+    """The frame with a fingerprint of its text column (null: of the empty text); a column ``out`` is replaced."""
     ship(df.sparkSession)
+    df = df.drop(out) if out in df.columns and out != text else df
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches):
-        for s in batches:
-            got: list[str] = []
-            texts = [x or "" for x in s]
-            for a, z in chunks_by_bytes([len(x) for x in texts], 8 << 20):
-                got += [as_text(x) for x in embed(texts[a:z])]
-            yield pd.Series(got)
+        for b in batches:
+            texts = [x or "" for x in b.column(b.schema.get_field_index(text)).to_pylist()]
+            got = [as_text(x) for a, z in chunks_by_bytes([len(x) for x in texts], 8 << 20) for x in embed(texts[a:z])]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.string())], [*b.schema.names, out])
 
-    return df.withColumn(out, F.pandas_udf(run, "string", F.PandasUDFType.SCALAR_ITER)(F.col(text)))
+    return df.mapInArrow(run, schema)
 
 
 #: Samples of a band and bands of an octave.
@@ -228,7 +227,7 @@ def near_texts(prints: DataFrame, least: float = 0.8) -> DataFrame:
     octave = F.explode(F.sequence(F.greatest(F.floor(F.length("fingerprint") / SAMPLES) - 2, F.lit(0)), F.floor(F.length("fingerprint") / SAMPLES) - 1)).alias("octave")
     cut = distinct.select("fingerprint", octave)
     bands = F.array(*(F.concat(F.lit(f"{i}:"), *(F.substring("fingerprint", (F.col("octave") * SAMPLES + p + 1).cast("int"), F.lit(1)) for p in own)) for i, own in enumerate(picks)))
-    keyed = cut.select("fingerprint", F.concat(F.col("octave").cast("string"), F.lit("/"), F.explode(bands)).alias("band"))
+    keyed = cut.select("fingerprint", "octave", F.explode(bands).alias("band")).select("fingerprint", F.concat_ws("/", F.col("octave").cast("string"), "band").alias("band"))
     heads = keyed.groupBy("band").agg(F.min("fingerprint").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
     pairs = keyed.join(heads, "band").where("fingerprint != a").select("a", F.col("fingerprint").alias("b")).distinct()
 

@@ -1,0 +1,498 @@
+"""The operators against brute force, on a few texts that hold every odd case."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+from zlib import crc32
+
+import numpy as np
+import pytest
+
+from millrace.llm import common, edit_fingerprint, pii, suffix_dedup, toxicity
+from millrace.llm.bpe import encode_documents, op3_query
+from millrace.llm.decontaminate import contamination, op10_query
+from millrace.llm.edit_fingerprint import add_fingerprint, embed, likeness, near_texts, op2_query
+from millrace.llm.html_text import common_lines, extract_text, main_text, page_lines
+from millrace.llm.ngram_join import components, near_duplicates, op9_query, overlaps, prefix_length, shingles
+from millrace.llm.suffix_dedup import difference_cover, remove_repeats
+from millrace.llm.token_counts import count_tokens, op5_query, pieces
+from millrace.llm.token_files import op8_query, pack_bits, unpack_bits
+
+tokenizers = pytest.importorskip("tokenizers")
+P = pytest.importorskip("public_tokenizers")
+WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(["the", "An", "river", "été", "stone", "über", "of", "light", "don't", "x1", "Tal"]) + str(rng.randint(0, 60)) for _ in range(n))
+
+
+def texts():
+    rng = random.Random(5)
+    base, passage = prose(rng, 160), prose(rng, 70)
+    near = base.split(" ")
+    near[40] = "changed"
+    out = [base, base, " ".join(near), prose(rng, 90) + " " + passage + " " + prose(rng, 30), passage, prose(rng, 20) + "\n" + passage, None, "", "   \n\t ", "one", "two words", "ONE", "a b c d", "A  b\tc\nd"]
+    out += ["<|endoftext|> İstanbul Σας 漢字 é \x00 ½ 😀", "x" * 1500, "ab" * 900, prose(rng, 3000), "mail a.b@c.org now +1 (555) 123-4567, 10.0.0.1, 4111 1111 1111 1111"]
+    return out
+
+
+def frame(spark, rows=None):
+    rows = list(enumerate(texts())) if rows is None else rows
+    return spark.createDataFrame([(i, t, "extra", 1.5) for i, t in rows], "doc_id long, text string, n_tokens string, score double").repartition(3)
+
+
+ODD = [(None, "x y z w v"), (None, None), (3, "dup dup"), (3, "dup dup"), (3, "other text")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return frame(spark).cache()
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+def sha(s):
+    return hashlib.sha256(s if isinstance(s, bytes) else s.encode()).hexdigest()
+
+
+# --- 1 ------------------------------------------------------------------------------------
+
+
+def brute_repeats(all_texts, length):
+    raw = [(t or "").encode() for t in all_texts]
+    seen: dict[bytes, int] = {}
+    for b in raw:
+        for i in range(len(b) - length + 1):
+            seen[b[i : i + length]] = seen.get(b[i : i + length], 0) + 1
+    out = []
+    for b in raw:
+        gone = np.zeros(len(b) + 1, bool)
+        for i in range(len(b) - length + 1):
+            if seen[b[i : i + length]] > 1:
+                gone[i : i + length] = True
+        gone = gone[: len(b)]
+        spans = int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum())
+        out.append((len(b), int(gone.sum()), spans, sha(np.frombuffer(b, np.uint8)[~gone].tobytes())))
+    return out
+
+
+@pytest.mark.parametrize("length", [400, 40, 9, 2])
+def test_suffix_dedup(docs, length):
+    got = by_id(remove_repeats(docs, length))
+    want = brute_repeats(texts(), length)
+    assert len(got) == len(want)
+    for i, w in enumerate(want):
+        assert tuple(got[i])[1:] == w, i
+
+
+def test_suffix_dedup_odd_rows(spark):
+    got = sorted(tuple(r) for r in remove_repeats(frame(spark, [*ODD, (9, "q" * 500)]), 5).select("n_bytes", "n_removed").collect())
+    assert got == [(0, 0), (7, 7), (7, 7), (9, 0), (10, 0), (500, 500)]
+    assert remove_repeats(frame(spark, []), 5).count() == 0
+
+
+def test_difference_cover_takes_every_pair():
+    for length in (400, 40, 9):
+        v, d = difference_cover(length)
+        assert {(a - b) % v for a in d for b in d} == set(range(v)) and v <= 0.8 * length
+
+
+def test_rolling_hash_is_of_the_bytes_alone():
+    h = common.RollingHash()
+    data = np.frombuffer(b"abcabcabd" * 3, np.uint8)
+    p = h.prefix(data)
+    spans = h.spans(p, np.array([0, 3, 6]), np.array([3, 6, 9]))
+    assert spans[0] == spans[1] != spans[2]
+    at = np.arange(len(data) - 4)
+    assert (suffix_dedup.window_hashes(h, data, at, 5) == h.spans(p, at, at + 5)).all()
+
+
+# --- 2 ------------------------------------------------------------------------------------
+
+
+def test_edit_fingerprint(docs):
+    got = by_id(op2_query(docs))
+    t = [x or "" for x in texts()]
+    for i, x in enumerate(t):
+        y = t[(i + 1) % len(t)]
+        edited = x[: len(x) - len(x) // 2] + y[: len(x) // 2]
+        assert got[i].n_chars == len(x) and got[i].edited_sha256 == sha(edited)
+        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
+        assert got[i].fingerprint == edit_fingerprint.as_text(embed([x])[0])
+        assert got[i].edited_fingerprint == edit_fingerprint.as_text(embed([edited])[0])
+    assert got[0].near_next == 1.0 and got[0].fingerprint == got[1].fingerprint
+    assert got[1].near_next > 0.5 > got[2].near_next
+
+
+def test_edit_fingerprint_follows_edit_distance():
+    rng = random.Random(3)
+    x = prose(rng, 400)
+    prints = embed([x, x[:900] + "zz" + x[905:], prose(rng, 400), x[: len(x) // 2]] + [prose(rng, 50) for _ in range(40)])
+    assert likeness(prints[0], prints[1]) > 0.8 > likeness(prints[0], prints[3]) > likeness(prints[0], prints[2])
+    assert likeness(prints[0], prints[2]) < 0.2
+    assert likeness(embed([""])[0], embed([""])[0]) == 1.0 and likeness(embed([""])[0], prints[0]) == 0.0
+
+
+def test_fingerprint_bands(spark, docs):
+    prints = add_fingerprint(docs).select("doc_id", "fingerprint")
+    p = {r.doc_id: r.fingerprint for r in prints.collect()}
+    links = {frozenset((r.a, r.b)) for r in near_texts(prints, least=0.6).collect()}
+    assert p[0] == p[2] or frozenset((p[0], p[2])) in links
+    assert all(likeness(edit_fingerprint.from_text(a), edit_fingerprint.from_text(b)) >= 0.6 for a, b in map(tuple, links))
+
+
+def test_edit_fingerprint_odd_rows(spark):
+    assert op2_query(frame(spark, ODD)).count() == 5
+    assert op2_query(frame(spark, [])).count() == 0
+    one = op2_query(frame(spark, [(1, "abcd")])).head()
+    assert one.near_next == 1.0 and one.edited_sha256 == sha("abab")
+
+
+# --- 3, 5, 8 --------------------------------------------------------------------------------
+
+
+def test_bpe(docs):
+    t = tokenizers.Tokenizer.from_file(P.path(WORDS))
+    got, plain = by_id(op3_query(docs, P.path(WORDS))), by_id(encode_documents(docs, P.path(WORDS)))
+    lists = by_id(encode_documents(docs, P.path(WORDS), lists=True))
+    for i, x in enumerate(texts()):
+        ids = t.encode(x or "", add_special_tokens=False).ids
+        want = " ".join(map(str, ids))
+        assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), sha(want)), i
+        assert got[i].decoded_sha256 == sha(t.decode(ids, skip_special_tokens=False))
+        assert plain[i].ids == want and lists[i].ids == ids
+
+
+def test_token_counts(docs, monkeypatch):
+    t = tokenizers.Tokenizer.from_file(P.path(BYTES))
+    got = by_id(op5_query(docs, P.path(BYTES)))
+    for i, x in enumerate(texts()):
+        n = len(t.encode(x or "", add_special_tokens=False).ids)
+        assert tuple(got[i]) == (i, len((x or "").encode()), n, n > 512), i
+    assert count_tokens(docs, P.path(BYTES)).columns == ["doc_id", "text", "score", "n_tokens"]
+    long = prose(random.Random(1), 3000) + "  \n x<|endoftext|>y  a b"
+    for limit in (10, 100, 5000):
+        parts = pieces(long, limit)
+        assert "".join(parts) == long
+        assert sum(len(t.encode(p, add_special_tokens=False).ids) for p in parts) == len(t.encode(long, add_special_tokens=False).ids)
+
+
+def test_token_files(docs):
+    t = tokenizers.Tokenizer.from_file(P.path(WORDS))
+    got, start = by_id(op8_query(docs, P.path(WORDS))), 0
+    for i, x in enumerate(texts()):
+        ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4")
+        assert tuple(got[i]) == (i, start, len(ids), crc32(ids.tobytes())), i
+        start += len(ids)
+
+
+def test_encoders_on_odd_rows(spark):
+    for q in (lambda d: op3_query(d, P.path(WORDS)), lambda d: op5_query(d, P.path(BYTES)), lambda d: op8_query(d, P.path(WORDS))):
+        assert q(frame(spark, ODD)).count() == 5
+        assert q(frame(spark, [])).count() == 0
+    starts = [tuple(r) for r in op8_query(frame(spark, ODD), P.path(WORDS)).orderBy("start").select("doc_id", "n_tokens").collect()]
+    assert [d for d, _ in starts] == [None, None, 3, 3, 3] and starts[0][1] == 1
+
+
+@pytest.mark.parametrize("bits", [1, 3, 8, 13, 16, 17, 32])
+def test_bit_packing(bits):
+    ids = np.random.default_rng(bits).integers(0, 1 << bits, 70_001, dtype=np.uint64).astype(np.uint32)
+    packed = pack_bits(ids, bits)
+    assert len(packed) == (len(ids) * bits + 7) // 8
+    for a, z in ((0, len(ids)), (5, 5), (17, 40), (65_530, 65_600), (70_000, 70_001)):
+        assert (unpack_bits(packed, bits, a, z) == ids[a:z]).all()
+
+
+# --- 4 ------------------------------------------------------------------------------------
+
+
+def slow_spans(t):
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    out = [("email", m.start(), m.end()) for m in email.finditer(t)]
+    out += [("ip", m.start(), m.end()) for m in ip.finditer(t) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("card", m.start(), m.end()) for m in card.finditer(t) if 16 <= len(digits(m[0])) <= 19 and pii.luhn(digits(m[0]))]
+    return out + [("phone", m.start(), m.end()) for m in phone.finditer(t) if 8 <= len(digits(m[0])) <= 15]
+
+
+def test_base_spans():
+    rng = random.Random(8)
+    for _ in range(5000):
+        t = "".join(rng.choice("ab@..-+ 0123456789()@%_é") for _ in range(rng.randint(0, 40)))
+        assert pii.base_spans(t) == slow_spans(t), t
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
+    assert pii.base_spans("9" * 100_000) == [] and pii.base_spans("a" * 100_000 + "@") == []
+
+
+def test_pii_query(docs, spark):
+    got = by_id(pii.op4_query(docs))
+    for i, x in enumerate(texts()):
+        base = slow_spans(x or "")
+        kinds = [sum(k == kind for k, _, _ in base) for kind in pii.KINDS]
+        assert list(tuple(got[i])[1:5]) == kinds and got[i].base_sha256 == sha(pii.as_text(base))
+        assert set(pii.as_text(base).split(",")) - {""} <= set(got[i].spans.split(","))
+    assert got[len(texts()) - 1].n_email == 1
+    assert pii.op4_query(frame(spark, ODD)).count() == 5 and pii.op4_query(frame(spark, [])).count() == 0
+    masked = by_id(pii.find_personal_data(docs, mask=True))
+    assert masked[18].text.startswith("mail [EMAIL] now [PHONE], [IP], [CARD]") and masked[6].text is None
+    assert masked[0].text == texts()[0] and masked[0].score == 1.5
+
+
+def test_network_gradient():
+    rng = np.random.default_rng(0)
+    p = pii._start(rng)
+    ids, tags = rng.integers(0, pii.ALPHABET, (3, 7)), rng.integers(0, pii.TAGS, (3, 7))
+
+    def loss():
+        e = pii._emissions(p, ids)
+        z, _, _ = pii._marginals(e, p["trans"])
+        path = e[np.arange(3)[:, None], np.arange(7)[None, :], tags].sum() + p["trans"][tags[:, :-1], tags[:, 1:]].sum()
+        return (z.sum() - path) / 3
+
+    g = pii._gradient(p, ids, tags)
+    for k in p:
+        at = tuple(rng.integers(0, s) for s in p[k].shape)
+        old = p[k][at]
+        p[k][at] = old + 1e-5
+        up = loss()
+        p[k][at] = old - 1e-5
+        down = loss()
+        p[k][at] = old
+        assert abs((up - down) / 2e-5 - g[k][at]) < 1e-5, k
+
+
+def test_network_finds_what_it_was_taught():
+    rng, p = np.random.default_rng(123), pii.model()
+    hit = made = want = 0
+    for _ in range(150):
+        text, spans = pii._sample_text(rng)
+        got = {(k, a, z) for k, a, z, _ in pii.model_spans(p, [text])[0]}
+        right = {(pii.KINDS[k], a, z) for k, a, z in spans}
+        hit, made, want = hit + len(got & right), made + len(got), want + len(right)
+    assert hit / made > 0.85 and hit / want > 0.9
+
+
+def test_windows_leave_no_trace():
+    p = pii.model()
+    text = "see 555 " + "12 " * 40 + "write to ann.lee@example.org today " + "7 " * 60
+    a = pii.model_spans(p, [text])[0]
+    assert ("email", text.index("ann"), text.index(" today")) in [s[:3] for s in a]
+    assert pii.model_spans(p, ["no trigger here", text])[1] == a
+
+
+# --- 6 ------------------------------------------------------------------------------------
+
+PAGE = """<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><a>Home</a></nav><!-- x --><div class="ad">Buy</div>
+<article><h1>Head &amp; line</h1><p><b>One&nbsp;two<br><p>three
+ four</p><div id="comments"><p>nice</p></div><p>last &#233;</p></article><footer>&copy; z</footer></body></html>"""
+
+
+def test_page_text():
+    assert main_text(page_lines(PAGE), None) == "Head & line\nOne two\nthree four\nlast é"
+    assert main_text(page_lines(""), None) == "" and main_text(page_lines("just text"), None) == "just text"
+    assert main_text(page_lines("<div class=ad>open <article><p>kept"), None) == "kept"
+
+
+def test_common_lines_against_table():
+    rng = random.Random(2)
+    for _ in range(300):
+        x, y = ([rng.choice("abcd") for _ in range(rng.randint(0, 9))] for _ in range(2))
+        table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, a in enumerate(x):
+            for j, b in enumerate(y):
+                table[i + 1][j + 1] = table[i][j] + 1 if a == b else max(table[i][j + 1], table[i + 1][j])
+        shared = common_lines(x, y)
+        assert sum(shared) == table[-1][-1]
+        rest = iter(y)
+        assert all(any(c == w for w in rest) for c, s in zip(x, shared, strict=True) if s)
+
+
+def test_nearest_page_differencing(spark):
+    page = lambda own: f"<div>Site name</div><div>{own}</div><div>All rights</div>"
+    rows = [(1, "http://a.org/x/1", page("first")), (2, "https://a.org/x/2?q=1", page("second")), (3, "http://b.org/x/1", page("alone")), (4, None, None), (5, "http://a.org/x/1", PAGE), (5, "http://a.org/x/1", PAGE)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {(r.page_id, r.text) for r in extract_text(df).collect()}
+    assert got == {(1, "first"), (2, "second"), (3, "Site name\nalone\nAll rights"), (4, ""), (5, "Head & line\nOne two\nthree four\nlast é")} or {t for i, t in got if i == 1} <= {"first", "Site name\nfirst\nAll rights"}
+    assert extract_text(df).count() == 6 and extract_text(df.limit(0)).count() == 0
+
+
+# --- 7 ------------------------------------------------------------------------------------
+
+
+def test_toxicity_learns_and_holds_out(spark):
+    rng = random.Random(4)
+    rows, marks = [], []
+    for i in range(400):
+        bad = i % 5 == 0
+        words = prose(rng, 60).split(" ")
+        if bad:
+            for _ in range(5):
+                words[rng.randint(0, 59)] = rng.choice(["grumblefoo", "snarkbar"])
+        rows.append((i, " ".join(words)))
+        marks.append((i, int(bad)))
+    rows += [(1000, None), (1001, ""), (None, "x")]
+    d, labels = frame(spark, rows), spark.createDataFrame(marks, "doc_id long, toxic int")
+    got = by_id(toxicity.op7_query(d, labels))
+    held = [i for i, _ in marks if crc32(str(i).encode()) % 5 == 0]
+    assert sorted(i for i, r in got.items() if r.held_out and i is not None and i < 1000) == held
+    assert all(got[i].predicted == int(i % 5 == 0) for i in held)
+    assert got[1000].score == got[1001].score < 0.5
+    model = toxicity.train(d, labels)
+    spans = by_id(toxicity.score(d, model))[0].spans
+    text = rows[0][1]
+    assert {text[s.start : s.end] for s in spans} == set(re.findall("grumblefoo|snarkbar", text))
+    none = toxicity.op7_query(d, labels.limit(0))
+    assert {r.predicted for r in none.collect()} == {0}
+
+
+def test_chain_against_enumeration():
+    m = toxicity.Model(np.zeros(0, np.uint64), np.zeros(0), -0.7, np.array([[0.3, -0.5], [0.1, 0.9]]), np.zeros(4))
+    gaps, factors = [2, 0, 3, 1], [1.5, -0.4, 2.0]
+    emission = [m.bias] * 2 + [1.5, -0.4] + [m.bias] * 3 + [2.0] + [m.bias]
+    total, each = 0.0, np.zeros(len(emission))
+    for code in range(1 << len(emission)):
+        path = [code >> i & 1 for i in range(len(emission))]
+        s = sum(e for e, x in zip(emission, path, strict=True) if x) + sum(m.trans[a, b] for a, b in zip([0, *path], path, strict=False))
+        total += np.exp(s)
+        each += np.exp(s) * np.array(path)
+    want = (each / total)[[2, 3, 7]]
+    assert np.allclose(m.marginals(gaps, factors), want)
+
+
+# --- 9 ------------------------------------------------------------------------------------
+
+
+def brute_components(all_texts, size, percent):
+    sets = []
+    for t in all_texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + size]) for i in range(len(w) - size + 1)} or ({tuple(w)} if w else set()))
+    root = list(range(len(sets)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = top(i), top(j)
+                root[max(a, b)] = min(a, b)
+    return [(len(s), top(i)) for i, s in enumerate(sets)]
+
+
+def test_ngram_join(docs):
+    got = by_id(op9_query(docs))
+    assert [tuple(got[i])[1:] for i in range(len(texts()))] == brute_components(texts(), 4, 85)
+
+
+@pytest.mark.parametrize("percent", [85, 50])
+def test_ngram_join_of_many_copies(spark, percent):
+    rng = random.Random(9)
+    base = prose(rng, 80).split(" ")
+    all_texts = []
+    for i in range(160):  # copies at several distances, and texts that only share a part
+        w = list(base)
+        for _ in range(i % 6):
+            w[rng.randint(0, 79)] = f"e{rng.randint(0, 10**6)}"
+        all_texts.append(" ".join(w if i % 10 else w[:40] + prose(rng, 30).split(" ")))
+    got = by_id(near_duplicates(frame(spark, list(enumerate(all_texts))), 4, percent))
+    want = brute_components(all_texts, 4, percent)
+    assert [tuple(got[i])[1:] for i in range(len(all_texts))] == want
+    assert len({c for _, c in want}) > 3
+
+
+def test_ngram_join_odd_rows(spark):
+    got = [tuple(r) for r in op9_query(frame(spark, [*ODD, (8, "X y z w v")])).collect()]
+    assert sorted(got, key=str) == sorted([(None, 2, 8), (8, 2, 8), (None, 0, None), (3, 1, 3), (3, 1, 3), (3, 1, 3)], key=str)
+    assert op9_query(frame(spark, [])).count() == 0
+
+
+def test_prefix_lengths_and_overlaps():
+    for n in range(1, 200):
+        p = prefix_length(n)
+        assert 1 <= p <= n and n - p < -(-85 * n // 100) <= n - p + 1
+    lists = [np.array(x, np.uint64) for x in ([1, 2, 3], [2, 3, 4, 9], [7])]
+    assert overlaps(lists).tolist()[0][1] == 2 and overlaps(lists)[0][2] == 0
+    d, t = shingles([b"a b c d e", b"", b"a b", b"A b c D"], 4)
+    assert d.tolist() == [0, 0, 2, 3] and t[3] in t[:2]
+
+
+def test_components(spark):
+    e = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (9, 8), (8, 7), (1, 7), (6, 6)], "a long, b long")
+    assert {r.node: r.root for r in components(e).collect()} == {5: 2, 4: 2, 3: 2, 9: 1, 8: 1, 7: 1}
+
+
+# --- 10 -----------------------------------------------------------------------------------
+
+
+def brute_hits(all_texts, items, window=10):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    split = lambda t: word.findall((t or "").translate(low))
+    out = []
+    for t in all_texts:
+        w, hit, found = split(t), set(), set()
+        for k, item in items:
+            x = split(item)
+            n = min(window, len(x))
+            wins = {tuple(x[j : j + n]) for j in range(len(x) - n + 1)} if n else set()
+            for j in range(len(w) - n + 1):
+                if n and tuple(w[j : j + n]) in wins:
+                    hit.update(range(j, j + n))
+                    found.add(str(k))
+        out.append((len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)))
+    return out
+
+
+def test_decontamination(spark, docs):
+    t = texts()
+    items = [(1, t[4]), (2, " ".join(t[0].split(" ")[20:45]).upper()), (3, "one"), (12, "TWO, words!"), (4, ""), (5, None), (6, prose(random.Random(77), 30)), (7, "a b c d")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = by_id(op10_query(docs, bench))
+    for i, want in enumerate(brute_hits(t, items)):
+        assert tuple(got[i])[1:] == want, i
+    rows = contamination(docs, bench)
+    assert rows.columns[:4] == ["doc_id", "text", "n_tokens", "score"]
+    assert all(not r.contaminated for r in op10_query(docs, bench.limit(0)).collect())
+    assert op10_query(frame(spark, ODD), bench).count() == 5 and op10_query(frame(spark, []), bench).count() == 0
+
+
+def test_decontamination_runs_no_python(spark, docs):
+    bench = spark.createDataFrame([(1, texts()[4])], "item_id long, text string")
+    plan = op10_query(docs, bench)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
+
+
+# --- packing ------------------------------------------------------------------------------
+
+
+def test_key_packing():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 1000):
+        keys = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        assert (common.unpack_sorted(common.pack_sorted(keys)) == keys).all()
+    words = [b"", b"a", "é\n\0".encode(), b"x" * 5000]
+    assert common.unpack_strings(common.pack_strings(words)).to_pylist() == words
+    assert list(common.chunks_by_bytes([5, 1, 1, 9, 1], 6)) == [(0, 2), (2, 3), (3, 4), (4, 5)]
+
+
+def test_ordered_blocks_bring_neighbours(spark):
+    rows = spark.createDataFrame([(i * 7 % 101, f"t{i}") for i in range(101)], "key long, text string").repartition(5)
+    seen = {}
+    for r in common.ordered_blocks(rows, 6, ("next", "previous")).groupBy("bucket").agg({"payload": "collect_list"}).collect():
+        t = common.from_blocks(r[1]).to_pylist()
+        own = sorted(x["key"] for x in t if not x["extra"])
+        seen[r[0]] = (own, [x["key"] for x in t if x["extra"] == 1], [x["key"] for x in t if x["extra"] == -1])
+    order = [seen[b] for b in sorted(seen)]
+    assert [k for own, _, _ in order for k in own] == list(range(101))
+    for i, (own, after, before) in enumerate(order):
+        assert after == [order[(i + 1) % len(order)][0][0]] and before == [order[i - 1][0][-1]]
+        assert own == sorted(own)
