@@ -67,7 +67,7 @@ def _write(path: str, bits: int):
         keys, texts = docs.column("key").to_pylist(), docs.column("text").to_pylist()
         for a, z in chunks_by_bytes([len(x) for x in texts], 1 << 20):
             for k, x in zip(keys[a:z], encoder.many(texts[a:z]), strict=True):
-                x = np.append(x, np.uint32(END_ID))
+                x = np.append(x, x.dtype.type(END_ID))
                 held.append(k)
                 ids.append(x)
                 size += len(x)

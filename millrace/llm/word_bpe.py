@@ -9,6 +9,9 @@ the library's full care.
 from __future__ import annotations
 
 import re
+from functools import partial
+from itertools import compress
+from operator import is_
 
 import numpy as np
 
@@ -19,7 +22,8 @@ from millrace.llm.token_counts import tokenizer
 _PLAIN = re.compile("[\t\n\r -~¡-¬®-ÿ‐-‧€]*")
 _LETTER, _DIGIT = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
 #: The vocabulary's pre-tokenizer, over lower-cased plain characters.
-_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^ \t\n\r{_LETTER}{_DIGIT}]+")
+#: Letters come first here, as nothing else begins with one.
+_WORD = re.compile(f"[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{_DIGIT}]|[^ \t\n\r{_LETTER}{_DIGIT}]+")
 _CUT = re.compile("(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
 
 
@@ -79,6 +83,10 @@ def encode_units(path: str, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ids) if ids else np.zeros(0, np.uint32), counts
 
 
+#: ``x is None``, in C.
+_NONE = partial(is_, None)
+
+
 class CachedEncoder:
     """Text to ids with a bounded cache of units, one for each worker and vocabulary."""
 
@@ -88,6 +96,7 @@ class CachedEncoder:
 
     def __init__(self, path: str):
         self.path, self.special, self.cache = path, special_tokens(path), {}
+        self.kind = "<u2" if tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4"
 
     @classmethod
     def of(cls, path: str) -> "CachedEncoder":
@@ -97,18 +106,23 @@ class CachedEncoder:
         return cls._kept[path]
 
     def many(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
+        """The ids of each text, two bytes each where the vocabulary fits in that."""
+        cache, kind = self.cache, self.kind
         found = [units(t, self.special) for t in texts]
-        cache, every = self.cache, set().union(*found)
-        missing = list(every - cache.keys())
+        parts = [list(map(cache.get, f)) for f in found]
+        holes = [list(compress(range(len(p)), map(_NONE, p))) for p in parts]
+        missing = list({f[i] for f, own in zip(found, holes, strict=True) for i in own})
         if missing:
-            if len(cache) + len(missing) > self.MOST:
-                cache.clear()
-                missing = list(every)
             ids, counts = encode_units(self.path, missing)
-            raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
-            cache.update((u, raw[a:z]) for u, a, z in zip(missing, [0, *ends], ends, strict=False))
-        return [np.frombuffer(b"".join(map(cache.__getitem__, f)), "<u4") for f in found]
+            raw, ends = ids.astype(kind).tobytes(), (int(kind[-1]) * np.cumsum(counts)).tolist()
+            fresh = {u: raw[a:z] for u, a, z in zip(missing, [0, *ends], ends, strict=False)}
+            for f, p, own in zip(found, parts, holes, strict=True):
+                for i in own:
+                    p[i] = fresh[f[i]]
+            if len(cache) + len(fresh) > self.MOST:
+                cache.clear()
+            cache.update(fresh)
+        return [np.frombuffer(b"".join(p), kind) for p in parts]
 
     def __call__(self, text: str) -> np.ndarray:
         return self.many([text])[0]
