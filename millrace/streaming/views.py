@@ -46,6 +46,7 @@ class View:
     listeners: list[Callable[[DataFrame | None], None]] = field(default_factory=list)
     status: str = "unknown"
     users: int = 0
+    pinned: bool = False
 
     @property
     def table(self) -> TableDef:
@@ -254,20 +255,37 @@ class Engine:
             t.df.createOrReplaceTempView(n)
         return self.spark.sql(text, args=args or None)
 
-    def view(self, q: Query | Builder, name: str | None = None) -> View:
-        """Register and hydrate a view; the same name gives the same view."""
+    def explain(self, q: Query | Builder) -> str:
+        """The plans of a query."""
+        return self.query(q)._jdf.queryExecution().toString()
+
+    def analyze(self, q: Query | Builder) -> dict[str, int]:
+        """Run a query and count: its rows, and the rows of each table on the way after filters and gates."""
+        q = built(q)
+        lowering = Lowering(self.catalog, self.strict, footprint=[])
+        counts = {"rows": lowering.lower(q, ordered=False).count()}
+        for t, rows, _ in lowering.footprint:
+            counts[t.name] = counts.get(t.name, 0) + rows.count()
+        return counts
+
+    def view(self, q: Query | Builder, name: str | None = None, pinned: bool = False) -> View:
+        """Register and hydrate a view; the same name gives the same view.
+
+        A pinned view stays when its last user gives it up.
+        """
         q = built(q)
         name = name or f"view{len(self.views)}"
         if name not in self.views:
             self.views[name] = View(name, q, self).hydrate()
         self.views[name].users += 1
+        self.views[name].pinned |= pinned
         return self.views[name]
 
     def drop(self, name: str) -> None:
         """Give a view up; it goes with its last user."""
         v = self.views[name]
         v.users -= 1
-        if v.users <= 0:
+        if v.users <= 0 and not v.pinned:
             del self.views[name]
 
     def apply(self, batch: dict[str, DataFrame], batch_id: int | None = None, deadline: float | None = None) -> dict[str, DataFrame]:
@@ -292,10 +310,12 @@ class Engine:
                     out[name] = delta
         except Exception:
             for n, (snapshot, state) in kept.items():
-                self.views[n].snapshot, self.views[n].state = snapshot, state
+                self.views[n].snapshot, self.views[n].state, self.views[n].status = snapshot, state, "error"
             raise
         self.catalog, self.last_batch = after, batch_id if batch_id is not None else self.last_batch
         self.batches += 1
+        for v in self.views.values():
+            v.status = "complete"
         for name, delta in out.items():
             for listener in self.views[name].listeners:
                 listener(delta)

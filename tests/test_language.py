@@ -6,14 +6,16 @@ import itertools
 
 import pytest
 
-from millrace.errors import ConsistencyViolation, Invalid, SchemaViolation, UnknownColumn, UnknownRelationship, UnknownTable, Unsupported
+from millrace.errors import ConsistencyViolation, DeadlineExceeded, Invalid, SchemaViolation, UnknownColumn, UnknownRelationship, UnknownTable, Unsupported
 from millrace.functions.predicates import spark_pattern
+from millrace.functions.text import aggregate_name, epoch_ms, narrated
 from millrace.operators import changes as ch
 from millrace.plans.advice import advise_layout, explain_gates
 from millrace.plans.ast import from_json, to_json
 from millrace.plans.builder import all_of, any_of, compare, eq, exists, fragment, gt, ilike, in_list, is_null, like, not_exists, not_in_list, not_like, table
 from millrace.plans.lower import Lowering
 from millrace.sources.catalog import Catalog, checked
+from millrace.streaming.subscription import Publisher, SequenceGap, Subscriber
 from millrace.streaming.views import Engine
 from tests.naive import KEYS, evaluate
 
@@ -258,6 +260,58 @@ def test_transaction(spark):
     assert e.to_json(table("artist").where("id", 99)) == "[]"
 
 
+def test_subscription(spark):
+    e = Engine(spark, store(spark))
+    v = e.view(table("artist").where("country", "de").count_as("n", albums), pinned=True)
+    pub = Publisher(v)
+    sub = Subscriber(pub.hello(), v.key)
+    e.apply(batch_for(e.catalog, spark))
+    (epoch, seq, delta), = pub.queue
+    assert sub.take(epoch, seq, delta) and not sub.take(epoch, seq, delta)
+    assert sorted(map(str, sub.rows.collect())) == sorted(map(str, v.snapshot.collect()))
+    with pytest.raises(SequenceGap):
+        sub.take(epoch, seq + 2, delta)
+    with pytest.raises(SequenceGap):
+        sub.take(epoch + 1, 1, delta)
+    sub.start(pub.renew())
+    assert (sub.epoch, sub.seq) == (1, 0)
+    said = narrated(delta, {"add": "{new.name} came", "remove": "{old.name} left", "edit": "{old.name} from {old.country}"})
+    assert {r.text for r in said.collect()} >= {"eve came"}
+    e.drop(v.name)
+    assert v.name in e.views and v.status == "complete"
+
+
+def test_engine_extras(spark):
+    e = Engine(spark, store(spark))
+    assert e.analyze(table("artist").where_exists(albums)) == {"rows": 3, "album": 5, "artist": 3}
+    assert "Physical Plan" in e.explain(table("artist").limit(1))
+    one, two = (table("artist").count_as(a, albums).query.related[0] for a in ("x", "y"))
+    assert aggregate_name(one) == aggregate_name(two)
+    assert spark.sql("select timestamp'1970-01-01 00:00:01.5' as t").select(epoch_ms("t")).head()[0] == 1500
+    forked = e.fork()
+    a = forked.catalog["artist"]
+    forked.apply({"artist": ch.removes(a, a.df.where("id = 1"))})
+    assert e.query(table("artist").count()).head()[0] == 5 and forked.query(table("artist").count()).head()[0] == 4
+
+
+def test_deadline_leaves_everything(spark):
+    e = Engine(spark, store(spark))
+    v = e.view(table("artist").count())
+    a = e.catalog["artist"]
+    with pytest.raises(DeadlineExceeded):
+        e.apply({"artist": ch.removes(a, a.df.where("id = 1"))}, deadline=0.0)
+    assert v.status == "error" and v.data().head()[0] == 5 and e.query(table("artist").count()).head()[0] == 5
+
+
+def test_compaction(spark):
+    e = Engine(spark, store(spark), compact_every=2)
+    v = e.view(table("artist").where(gt("id", 0)))
+    for i in range(5):
+        t = e.catalog["artist"]
+        e.apply({"artist": ch.adds(t, spark.createDataFrame([(50 + i, "n", None)], SCHEMAS["artist"]))})
+    assert v.data().count() == 10 and e.query(table("artist").count()).head()[0] == 10
+
+
 def test_advice(spark):
     q = table("artist").where("country", "de").order_by("name").limit(2).sub("albums", albums).build()
     found = {a.table: a for a in advise_layout(store(spark), q)}
