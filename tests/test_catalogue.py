@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import os
+from numbers import Real
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -25,9 +27,9 @@ def sql():
 
 
 def plain(v):
-    if v is None or v is pd.NA or v is pd.NaT or isinstance(v, float) and math.isnan(v):
+    if v is None or v is pd.NA or v is pd.NaT or isinstance(v, Real) and math.isnan(v):
         return None
-    return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    return float(v) if isinstance(v, Real) and not isinstance(v, (bool, np.bool_)) else str(v)
 
 
 def rows(df):
