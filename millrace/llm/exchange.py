@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 
 from millrace.llm.common import bucket_count, checkpoint, from_blocks, pack_sorted, packed_documents, release, squeeze, unpack_sorted, unsqueeze
 
+#: Bytes of stored input in a bucket; a task holds several arrays of its text's length.
+STORED_BYTES = 2 << 20
 SENT = "owner int, bucket int, payload binary"
 REPLY = "bucket int, owner int, grade binary, first binary"
 
@@ -24,7 +26,7 @@ def stored_blocks(docs: DataFrame) -> tuple[DataFrame, int]:
     The checkpoint keeps the partitioning, so later steps by bucket move only
     what they exchange, not the text.
     """
-    spark, n = docs.sparkSession, bucket_count(docs)
+    spark, n = docs.sparkSession, bucket_count(docs, STORED_BYTES)
     # a plan that adapts while it runs doesn't say how its result is partitioned
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")

@@ -160,7 +160,7 @@ def _linked(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 #: Classes of a chunk: a task compares two chunks.
-CHUNK = 50
+CHUNK = 100
 
 
 def overlaps(lists: list[np.ndarray]) -> np.ndarray:
@@ -222,6 +222,7 @@ def _linked_apart(open_: DataFrame, classes: DataFrame, percent: int) -> DataFra
     about ``CHUNK``, of one root where that has so many, else of mixed ones, and
     a task compares two chunks, unless both are of one root.
     """
+    release(open_.sparkSession)
     groups = components(open_.where("set_key != a").select("a", F.col("set_key").alias("b")))
     nodes = open_.select("set_key", "root").distinct().join(groups.select(F.col("node").alias("set_key"), F.col("root").alias("top")), "set_key", "left").select("set_key", "root", F.coalesce("top", "set_key").alias("top"))
     nodes = checkpoint(nodes)
@@ -229,6 +230,7 @@ def _linked_apart(open_: DataFrame, classes: DataFrame, percent: int) -> DataFra
     kinds = sizes.select("top", "root", F.when(F.col("count") > CHUNK, F.hex("root")).otherwise(F.lit("")).alias("kind"), "count")
     counts = kinds.groupBy("top", "kind").agg(F.ceil(F.sum("count") / CHUNK).alias("parts"))
     dealt = nodes.join(kinds.drop("count"), ["top", "root"]).join(counts, ["top", "kind"])
+    release(open_.sparkSession)
     dealt = checkpoint(dealt.select("set_key", "root", "top", "kind", F.concat_ws(":", "kind", F.pmod(F.xxhash64("set_key"), "parts").cast("string")).alias("chunk")))
     chunks = counts.select("top", "kind", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.concat_ws(":", "kind", k.cast("string")))).alias("other"))
     chunks = chunks.groupBy("top").agg(F.collect_list(F.struct("kind", "other")).alias("others"))
@@ -279,12 +281,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     release(docs.sparkSession)
     classes = checkpoint(rows.where("content is not null").groupBy("set_key").agg(*(F.first(c).alias(c) for c in ("n_shingles", "lonely", "tokens", "orders", "content"))))
     postings = classes.select("set_key", "lonely", F.explode("tokens").alias("token"))
-    heads = postings.groupBy("token").agg(F.min(F.struct("lonely", "set_key")).alias("head"), F.count("*").alias("n")).where("n > 1").select("token", F.col("head.set_key").alias("pivot"))
+    # stored before they are joined: a join of two plain exchanges is split where a token is hot
+    heads = checkpoint(postings.groupBy("token").agg(F.min(F.struct("lonely", "set_key")).alias("head"), F.count("*").alias("n")).where("n > 1").select("token", F.col("head.set_key").alias("pivot")))
     held = checkpoint(postings.join(heads, "token").select("token", "set_key", "pivot"))
     star = checkpoint(held.where("set_key != pivot").select(F.least("set_key", "pivot").alias("a"), F.greatest("set_key", "pivot").alias("b")).distinct())
     links = checkpoint(_linked(star, classes, percent))
     joined = held.select("token", "set_key").join(components(links).withColumnRenamed("node", "set_key"), "set_key", "left").select("token", "set_key", F.coalesce("root", "set_key").alias("root"))
-    apart = joined.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("set_key").alias("a")).where("x != y").select("token", "a")
+    apart = checkpoint(joined.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("set_key").alias("a")).where("x != y").select("token", "a"))
     open_ = checkpoint(joined.join(apart, "token"))
     roots = components(links.unionByName(checkpoint(_linked_apart(open_, classes, percent))))
 
