@@ -125,14 +125,9 @@ def common_lines(x: list[str], y: list[str]) -> list[bool]:
 
 
 def main_text(lines: list[tuple[str, bool]], nearest: list[tuple[str, bool]] | None) -> str:
-    """The kept lines: of the article where there is one, else those the nearest page doesn't share."""
-    if any(inside for _, inside in lines):
-        return "\n".join(line for line, inside in lines if inside)
-    own = [line for line, _ in lines]
-    if not nearest:
-        return "\n".join(own)
-    shared = common_lines(own, [line for line, inside in nearest if not inside])
-    return "\n".join(line for line, gone in zip(own, shared, strict=True) if not gone)
+    """The kept lines: those inside an article, and the open ones that the nearest page doesn't share."""
+    shared = iter(common_lines([line for line, inside in lines if not inside], [line for line, inside in nearest or () if not inside]))
+    return "\n".join(line for line, inside in lines if inside or not next(shared))
 
 
 def url_key(url: str) -> str:
@@ -186,7 +181,7 @@ def _extract(key, t):
     for i, e in enumerate(extra):
         if not e:
             own, near = of(i), None
-            if own and not any(inside for _, inside in own) and (j := _nearest(keys, i)) is not None:
+            if own and (j := _nearest(keys, i)) is not None:
                 near = of(j)
             ids.append(rows.column("page_id")[i].as_py())
             urls.append(rows.column("url")[i].as_py())

@@ -322,6 +322,14 @@ def test_nearest_page_differencing(spark):
     assert extract_text(df).count() == 6 and extract_text(df.limit(0)).count() == 0
 
 
+def test_open_lines_beside_an_article_are_differenced(spark):
+    page = lambda lead, own: f"<div>Site name</div><p>{lead}</p><article><p>{own}</p><p>Under license</p></article><div>All rights</div>"
+    rows = [(1, "http://a.org/x/1", page("lead one", "first")), (2, "http://a.org/x/2", page("lead two", "second")), (3, "http://b.org/x/1", page("lead three", "alone"))]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "lead one\nfirst\nUnder license" and got[2] == "lead two\nsecond\nUnder license"
+    assert got[3] == "Site name\nlead three\nalone\nUnder license\nAll rights"
+
+
 # --- 7 ------------------------------------------------------------------------------------
 
 
