@@ -33,18 +33,22 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _aside(docs, ["score"], lambda d: score(d, model, spans=False).where("score < 0.5"))
 
 
+#: Words of a shingle, and the least likeness in hundredths, of the near-duplicate stage; those of the op9 query are its contract's.
+WORDS, PERCENT = 5, 80
+
+
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: that of the least doc_id.
+    """One document of each component (five-word shingles, 80 % alike): that of the least doc_id.
 
     Where doc_ids are missing or repeated, rows are numbered and stored first,
     and the row of the least number stays.  Texts without words all stay.
     """
     rows, ids, distinct = docs.agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id")).first()
     if rows == ids == distinct:
-        kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id")
+        kept = near_duplicates(docs, WORDS, PERCENT).where("doc_id = component_id").select("doc_id")
         return docs.join(kept, docs["doc_id"] == kept["doc_id"], "left_semi")
     numbered = checkpoint(docs.withColumn("__row", F.monotonically_increasing_id()))
-    kept = near_duplicates(numbered.select(F.col("__row").alias("doc_id"), "text")).where("doc_id = component_id").select(F.col("doc_id").alias("__row"))
+    kept = near_duplicates(numbered.select(F.col("__row").alias("doc_id"), "text"), WORDS, PERCENT).where("doc_id = component_id").select(F.col("doc_id").alias("__row"))
     return numbered.join(kept, "__row", "left_semi").select(*(f"`{c}`" for c in docs.columns))
 
 

@@ -59,3 +59,15 @@ def test_clashing_columns_and_odd_rows(spark, folder):
         empty = stage(spark, docs.limit(0), folder)
         assert empty.columns == docs.columns and empty.count() == 0
     assert cp.STAGES[4][1](spark, docs, folder).count() == 6
+
+
+@pytest.mark.parametrize("numbered", [True, False])
+def test_near_copies_between_80_and_85_percent_go(spark, numbered):
+    rng = random.Random(21)
+    base, other = ([f"w{rng.randint(0, 10**9)}" for _ in range(100)] for _ in range(2))
+    more = [f"m{i}" for i in range(26)]
+    # 5-word likeness: 96 of 116 (0.828), 96 of 120 (0.8 exactly), then 96 of 121
+    rows = [(1, base), (2, base + more[:20]), (3, other), (4, other + more[:24]), (5, base[::-1]), (6, base[::-1] + more[:25])]
+    docs = spark.createDataFrame([(i if numbered else None, " ".join(w)) for i, w in rows], "doc_id long, text string").coalesce(1)
+    got = sorted(len(r.text.split()) for r in cp.ngram_join(spark, docs, "").collect())
+    assert got == [100, 100, 100, 125]
