@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import bucket_count, chunks_by_bytes, from_blocks, mix64, ordered_blocks, ship
+from millrace.llm.common import bucket_count, checkpoint, chunks_by_bytes, from_blocks, mix64, ordered_blocks, ship
+from millrace.llm.ngram_join import components
 
 #: Samples of an octave; the first octave is the first steps themselves.
 SAMPLES = 32
@@ -213,12 +214,68 @@ def add_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint")
 BAND, BANDS = 8, 12
 
 
+#: Fingerprints of a chunk: a task compares two chunks.
+CHUNK = 100
+
+
+def _compare(least: float):
+    def run(key, t):
+        texts, roots = t.column("fingerprint").to_pylist(), t.column("root").to_pylist()
+        above = {r: r for r in roots}
+
+        def top(r):
+            while above[r] != r:
+                r = above[r]
+            return r
+
+        found = []
+        prints = [from_text(x) for x in texts]
+        for i, x in enumerate(prints):
+            for j in range(i):
+                p, q = top(roots[i]), top(roots[j])
+                if p != q and (near := likeness(x, prints[j])) >= least:
+                    above[max(p, q)] = min(p, q)
+                    found.append((min(texts[i], texts[j]), max(texts[i], texts[j]), near))
+        columns = list(zip(*found, strict=True)) or [[], [], []]
+        return pa.table({k: pa.array(v, kind) for k, v, kind in zip("a b near".split(), columns, (pa.string(), pa.string(), pa.float64()), strict=True)})
+
+    return run
+
+
+def _linked_apart(keyed: DataFrame, links: DataFrame, least: float) -> DataFrame:
+    """Links between members of a band that ``links`` leave apart.
+
+    Of bands with the same members one is taken.  It is cut into chunks, of one
+    root where that has more than ``CHUNK``, else of mixed ones, and a task
+    compares two chunks, unless both are of one root.
+    """
+    roots = components(links).select(F.col("node").alias("fingerprint"), "root")
+    joined = checkpoint(keyed.join(roots, "fingerprint", "left").select("band", "fingerprint", F.coalesce("root", "fingerprint").alias("root")))
+    members = [F.count("*"), F.min("fingerprint"), F.max("fingerprint"), *(F.sum(F.xxhash64(F.lit(i), "fingerprint").cast("decimal(38,0)")) for i in range(2))]
+    same = [f"m{i}" for i in range(len(members))]
+    apart = joined.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), *(m.alias(n) for m, n in zip(members, same, strict=True))).where("x != y")
+    open_ = checkpoint(joined.join(apart.groupBy(*same).agg(F.min("band").alias("band")).select("band"), "band"))
+    sizes = open_.groupBy("band", "root").count()
+    kinds = checkpoint(sizes.select("band", "root", F.when(F.col("count") > CHUNK, F.col("root")).otherwise(F.lit("")).alias("kind"), "count"))
+    counts = checkpoint(kinds.groupBy("band", "kind").agg(F.ceil(F.sum("count") / CHUNK).alias("parts")))
+    dealt = open_.join(kinds.drop("count"), ["band", "root"]).join(counts, ["band", "kind"])
+    dealt = dealt.select("fingerprint", "root", "band", "kind", F.concat_ws(":", "kind", F.pmod(F.xxhash64("fingerprint"), "parts").cast("string")).alias("chunk"))
+    chunks = counts.select("band", "kind", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.concat_ws(":", "kind", k.cast("string")))).alias("other"))
+    chunks = chunks.groupBy("band").agg(F.collect_list(F.struct("kind", "other")).alias("others"))
+    jobs = dealt.join(chunks, "band").select("fingerprint", "root", "band", "kind", "chunk", F.explode("others").alias("o")).where("kind != o.kind or kind = ''")
+    jobs = jobs.select("fingerprint", "root", F.concat_ws("|", "band", F.least("chunk", "o.other"), F.greatest("chunk", "o.other")).alias("job"))
+    return jobs.groupBy("job").applyInArrow(_compare(least), "a string, b string, near double").distinct()
+
+
 def near_texts(prints: DataFrame, least: float = 0.8) -> DataFrame:
-    """Verified links ``(a, b, near)`` between different fingerprints of ``prints (fingerprint)``.
+    """Verified links ``(a, b, near)``, a < b, between different fingerprints of ``prints (fingerprint)``.
 
     Fingerprints meet in a band if they agree on its randomly chosen samples of
-    one octave.  In each band all are compared with its least fingerprint only,
-    so a band of m costs m comparisons; equal fingerprints count once.
+    one octave.  In each band all are first compared with its least fingerprint,
+    then those still apart with each other, chunk by chunk.  The links so
+    connect all that any links between members of a band connect (see
+    ``near_classes``); further links within a class are not listed.  Equal
+    fingerprints count once.
     """
     rng = np.random.default_rng(SEED + 2)
     picks = [sorted(rng.choice(SAMPLES, BAND, replace=False).tolist()) for _ in range(BANDS)]
@@ -228,8 +285,10 @@ def near_texts(prints: DataFrame, least: float = 0.8) -> DataFrame:
     cut = distinct.select("fingerprint", octave)
     bands = F.array(*(F.concat(F.lit(f"{i}:"), *(F.substring("fingerprint", (F.col("octave") * SAMPLES + p + 1).cast("int"), F.lit(1)) for p in own)) for i, own in enumerate(picks)))
     keyed = cut.select("fingerprint", "octave", F.explode(bands).alias("band")).select("fingerprint", F.concat_ws("/", F.col("octave").cast("string"), "band").alias("band"))
+    keyed = checkpoint(keyed)
     heads = keyed.groupBy("band").agg(F.min("fingerprint").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
-    pairs = keyed.join(heads, "band").where("fingerprint != a").select("a", F.col("fingerprint").alias("b")).distinct()
+    held = checkpoint(keyed.join(heads, "band"))
+    pairs = held.where("fingerprint != a").select("a", F.col("fingerprint").alias("b")).distinct()
 
     def verify(batches):
         for b in batches:
@@ -237,7 +296,14 @@ def near_texts(prints: DataFrame, least: float = 0.8) -> DataFrame:
             made = pa.RecordBatch.from_arrays([*b.columns, pa.array(near, pa.float64())], ["a", "b", "near"])
             yield made.filter(pa.array([x >= least for x in near], pa.bool_()))
 
-    return pairs.mapInArrow(verify, "a string, b string, near double")
+    star = checkpoint(pairs.mapInArrow(verify, "a string, b string, near double"))
+    return star.unionByName(_linked_apart(held.select("band", "fingerprint"), star, least))
+
+
+def near_classes(prints: DataFrame, least: float = 0.8) -> DataFrame:
+    """``(fingerprint, root)`` of each different fingerprint of ``prints``: the least one connected, itself where there is none."""
+    roots = components(near_texts(prints, least)).withColumnRenamed("node", "fingerprint")
+    return prints.select("fingerprint").where("fingerprint != ''").distinct().join(roots, "fingerprint", "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root"))
 
 
 def op2_query(docs: DataFrame) -> DataFrame:

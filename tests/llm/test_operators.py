@@ -146,6 +146,23 @@ def test_fingerprint_bands(spark, docs):
     assert all(likeness(edit_fingerprint.from_text(a), edit_fingerprint.from_text(b)) >= 0.6 for a, b in map(tuple, links))
 
 
+@pytest.mark.parametrize("chunk", [100, 3])
+def test_fingerprint_bands_with_a_shared_tail(spark, monkeypatch, chunk):
+    monkeypatch.setattr(edit_fingerprint, "CHUNK", chunk)
+    rng = random.Random(8)
+    one = lambda n: "".join(rng.choice("123456789abcdef") for _ in range(n))
+    tail, prints = one(64), []
+    for head in ("1" + one(255), *(rng.choice("23456789") + one(255) for _ in range(4))):  # the least is alone
+        copies = 1 if head[0] == "1" else 5
+        prints += [head[:9] + str(k) + head[10:] + tail[:-3] + one(3) for k in range(copies)]
+    near = lambda x, y: likeness(edit_fingerprint.from_text(x), edit_fingerprint.from_text(y)) >= LEAST
+    LEAST = 0.9
+    root = {x: min(y for y in prints if near(x, y)) for x in prints}
+    assert len(set(root.values())) == 5 and all(near(x, y) == (root[x] == root[y]) for x in prints for y in prints)
+    got = edit_fingerprint.near_classes(spark.createDataFrame([(x,) for x in prints], "fingerprint string"), LEAST)
+    assert {r.fingerprint: r.root for r in got.collect()} == root
+
+
 def test_edit_fingerprint_odd_rows(spark):
     assert op2_query(frame(spark, ODD)).count() == 5
     assert op2_query(frame(spark, [])).count() == 0
