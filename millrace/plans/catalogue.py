@@ -214,13 +214,11 @@ _query("j_child_limit", lambda: table("customer").sub("orders", lambda p: table(
 _query("j_child_filter_start", lambda: table("customer").sub("orders", lambda p: table("orders").where("o_custkey", p.c_custkey).where("o_orderstatus", "O").order_by("o_totalprice", "desc").start_after({"o_totalprice": 200000, "o_orderkey": 0}).limit(2)).select("c_custkey"), "SELECT c_custkey, CAST(pos AS INTEGER) AS pos, o_orderkey FROM customer LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) - 1 AS pos FROM orders WHERE o_orderstatus = 'O' AND (o_totalprice < 200000 OR (o_totalprice = 200000 AND o_orderkey > 0))) WHERE pos < 2) o ON o_custkey = c_custkey", _exploded("orders", "o_orderkey", keep=("c_custkey",)))
 _query("j_one", lambda: table("customer").sub("best", lambda p: table("orders").where("o_custkey", p.c_custkey).where(gt("o_totalprice", 400000)).order_by("o_totalprice", "desc").one()).select("c_custkey"), "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders WHERE o_totalprice > 400000) WHERE r = 1) o ON o_custkey = c_custkey", lambda df: df.select("c_custkey", F.col("best.o_orderkey").alias("o_orderkey")))
 _query("j_sibling", lambda: table("nation").sub("customers", lambda p: table("customer").where("c_nationkey", p.n_nationkey)).sub("suppliers", lambda p: table("supplier").where("s_nationkey", p.n_nationkey)).select("n_name"), "SELECT n_name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS customers, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS suppliers FROM nation", lambda df: df.select("n_name", F.size("customers").cast("long").alias("customers"), F.size("suppliers").cast("long").alias("suppliers")))
-_query("j_nested2", lambda: table("customer").where(lt("c_custkey", 200)).sub("orders", lambda p: table("orders").where("o_custkey", p.c_custkey).sub("items", _items())).select("c_custkey"), "SELECT c_custkey, o_orderkey, l_partkey, l_linenumber, l_extendedprice FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE c_custkey < 200", lambda df: df.select("c_custkey", F.explode_outer("orders").alias("o")).select("c_custkey", F.col("o.o_orderkey").alias("o_orderkey"), F.explode_outer("o.items").alias("l")).select("c_custkey", "o_orderkey", "l.l_partkey", "l.l_linenumber", "l.l_extendedprice"))
-_query("j_nested2_all", lambda: table("customer").sub("orders", lambda p: table("orders").where("o_custkey", p.c_custkey).sub("items", _items())).select("c_custkey"), "SELECT c_custkey, o_orderkey, l_partkey, l_linenumber, l_extendedprice FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey", lambda df: df.select("c_custkey", F.explode_outer("orders").alias("o")).select("c_custkey", F.col("o.o_orderkey").alias("o_orderkey"), F.explode_outer("o.items").alias("l")).select("c_custkey", "o_orderkey", "l.l_partkey", "l.l_linenumber", "l.l_extendedprice"))
+_query("j_nested2", lambda: table("customer").sub("orders", lambda p: table("orders").where("o_custkey", p.c_custkey).sub("items", _items())).select("c_custkey"), "SELECT c_custkey, o_orderkey, l_partkey, l_linenumber, l_extendedprice FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey", lambda df: df.select("c_custkey", F.explode_outer("orders").alias("o")).select("c_custkey", F.col("o.o_orderkey").alias("o_orderkey"), F.explode_outer("o.items").alias("l")).select("c_custkey", "o_orderkey", "l.l_partkey", "l.l_linenumber", "l.l_extendedprice"))
 _query("j_nested3", lambda: table("region").sub("nations", lambda p: table("nation").where("n_regionkey", p.r_regionkey).sub("suppliers", lambda p: table("supplier").where("s_nationkey", p.n_nationkey).sub("items", lambda p: table("lineitem").where("l_suppkey", p.s_suppkey).where(gt("l_quantity", 49))))).select("r_name"), "SELECT r_name, n_name, s_name, l_orderkey, l_linenumber FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity > 49) l ON l_suppkey = s_suppkey", lambda df: df.select("r_name", F.explode_outer("nations").alias("n")).select("r_name", F.col("n.n_name").alias("n_name"), F.explode_outer("n.suppliers").alias("s")).select("r_name", "n_name", F.col("s.s_name").alias("s_name"), F.explode_outer("s.items").alias("l")).select("r_name", "n_name", "s_name", "l.l_orderkey", "l.l_linenumber"))
 _query("j_compound", lambda: table("conversations").where("role", "user").sub("same", lambda p: table("conversations").where("conv_id", p.conv_id).where("turn", p.turn)).select("conv_id", "turn"), "SELECT conv_id, turn, 1 AS same FROM conversations WHERE role = 'user'", lambda df: df.select("conv_id", "turn", F.size("same").alias("same")))
 _query("j_self", lambda: table("customer").sub("peers", lambda p: table("customer").where("c_nationkey", p.c_nationkey).order_by("c_acctbal", "desc").limit(2)).select("c_custkey"), "SELECT c.c_custkey, CAST(pos AS INTEGER) AS pos, p.c_custkey AS peer FROM customer c LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) - 1 AS pos FROM customer) WHERE pos < 2) p ON p.c_nationkey = c.c_nationkey", lambda df: df.select("c_custkey", F.posexplode_outer("peers").alias("pos", "v")).select("c_custkey", "pos", F.col("v.c_custkey").alias("peer")))
-_query("j_m2m", lambda: table("part").where(lt("p_partkey", 100)).sub("items", lambda p: table("lineitem").where("l_partkey", p.p_partkey).sub("supplier", lambda p: table("supplier").where("s_suppkey", p.l_suppkey).one())).select("p_partkey"), "SELECT p_partkey, l_orderkey, l_linenumber, s_name FROM part LEFT JOIN lineitem ON l_partkey = p_partkey LEFT JOIN supplier ON s_suppkey = l_suppkey WHERE p_partkey < 100", lambda df: df.select("p_partkey", F.explode_outer("items").alias("l")).select("p_partkey", "l.l_orderkey", "l.l_linenumber", F.col("l.supplier.s_name").alias("s_name")))
-_query("j_m2m_all", lambda: table("part").sub("items", lambda p: table("lineitem").where("l_partkey", p.p_partkey).sub("supplier", lambda p: table("supplier").where("s_suppkey", p.l_suppkey).one())).select("p_partkey"), "SELECT p_partkey, l_orderkey, l_linenumber, s_name FROM part LEFT JOIN lineitem ON l_partkey = p_partkey LEFT JOIN supplier ON s_suppkey = l_suppkey", lambda df: df.select("p_partkey", F.explode_outer("items").alias("l")).select("p_partkey", "l.l_orderkey", "l.l_linenumber", F.col("l.supplier.s_name").alias("s_name")))
+_query("j_m2m", lambda: table("part").sub("items", lambda p: table("lineitem").where("l_partkey", p.p_partkey).sub("supplier", lambda p: table("supplier").where("s_suppkey", p.l_suppkey).one())).select("p_partkey"), "SELECT p_partkey, l_orderkey, l_linenumber, s_name FROM part LEFT JOIN lineitem ON l_partkey = p_partkey LEFT JOIN supplier ON s_suppkey = l_suppkey", lambda df: df.select("p_partkey", F.explode_outer("items").alias("l")).select("p_partkey", "l.l_orderkey", "l.l_linenumber", F.col("l.supplier.s_name").alias("s_name")))
 _query("j_dup_alias", lambda: table("customer").sub("orders", _own()).sub("orders", _own(eq("o_orderstatus", "P"))).select("c_custkey"), "SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') AS orders FROM customer", lambda df: df.select("c_custkey", F.size("orders").cast("long").alias("orders")))
 _query("j_shadow", lambda: table("customer").count_as("c_name", _own()), "SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS c_name FROM customer")
 _query("j_null_key", lambda: table("orders_n").sub("customer", lambda p: table("customer").where("c_custkey", p.o_custkey)).select("o_orderkey"), f"SELECT o_orderkey, c_custkey FROM {ORDERS_N} LEFT JOIN customer ON c_custkey = o_custkey", lambda df: df.select("o_orderkey", F.explode_outer("customer").alias("c")).select("o_orderkey", "c.c_custkey"))
