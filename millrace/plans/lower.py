@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from millrace.errors import Invalid, Unsupported
 from millrace.functions.predicates import predicate, simple
 from millrace.operators.aggregates import aggregated, checked
-from millrace.operators.paging import completed, first_rows, from_start, ranked, sort_columns
+from millrace.operators.paging import completed, first_rows, from_start, ranked, sort_columns, sort_key
 from millrace.plans.ast import Column as Field
 from millrace.plans.ast import Condition, Gate, Group, Literal, Query, Related, Simple, gates
 from millrace.sources.catalog import Catalog, TableDef
@@ -25,6 +25,15 @@ from millrace.sources.catalog import Catalog, TableDef
 _ids = itertools.count()
 
 
+#: Rows of keys up to which a side is broadcast; how many there are is known before.
+FEW = 10_000
+
+
+def few(keys: DataFrame, most: int | None) -> DataFrame:
+    """A frame of keys, broadcast where it is known to have few rows."""
+    return F.broadcast(keys) if most is not None and most <= FEW else keys
+
+
 def _unique(name: str) -> str:
     return f"__{name}{next(_ids)}"
 
@@ -41,8 +50,6 @@ class Lowering:
     strict: bool = True
     by_byte: bool = False
     footprint: list[tuple[TableDef, DataFrame, str | None]] | None = field(default=None, repr=False)
-    #: Read only the children of the parents at hand; worth a join where those are few.
-    narrow: bool = False
 
     # --- checks -----------------------------------------------------------------
 
@@ -113,10 +120,13 @@ class Lowering:
 
     # --- rows -------------------------------------------------------------------
 
-    def rows(self, q: Query, keep: DataFrame | None = None) -> DataFrame:
-        """The rows of a query's table after start and where, before any limit, in all columns."""
+    def rows(self, q: Query, keep: DataFrame | None = None, most: int | None = None) -> DataFrame:
+        """The rows of a query's table after start and where, before any limit, in all columns.
+
+        ``keep`` has the keys to stay with, ``most`` bounds how many.
+        """
         t = self.catalog[q.table]
-        df = t.df if keep is None else t.df.join(keep, list(t.key), "left_semi")
+        df = t.df if keep is None else t.df.join(few(keep, most), list(t.key), "left_semi")
         return self.where(from_start(df, q, t), q.where, t)
 
     def where(self, df: DataFrame, c: Condition | None, t: TableDef) -> DataFrame:
@@ -224,25 +234,33 @@ class Lowering:
 
     # --- shapes -----------------------------------------------------------------
 
-    def nested(self, q: Query, df: DataFrame) -> DataFrame:
-        """``df`` with its children attached, each in a column ``@alias`` after the table's own."""
+    def nested(self, q: Query, df: DataFrame, most: int | None = None, narrow: bool = False) -> DataFrame:
+        """``df`` with its children attached, each in a column ``@alias`` after the table's own.
+
+        ``most`` bounds the rows of ``df``.  Where there is a bound, or with
+        ``narrow``, only the children of the rows at hand are read.
+        """
         t = self.catalog[q.table]
         if self.footprint is not None:
             self.footprint.append((t, df, None))
+        whole, given = df, _given(q)
         for r in _children(q):
-            df = self._attach(df, r, f"@{r.query.alias}")
+            df = self._attach(df, r, f"@{r.query.alias}", whole if narrow or most is not None else None, most, given)
         return df
 
-    def _attach(self, df: DataFrame, r: Related, name: str) -> DataFrame:
+    def _attach(self, df: DataFrame, r: Related, name: str, parents: DataFrame | None = None, most: int | None = None, given: dict[str, object] | None = None) -> DataFrame:
         q = r.query
         t = self.catalog[q.table]
         keys = [_unique("c") for _ in r.child]
         named = [F.col(f"`{c}`").alias(k) for c, k in zip(r.child, keys, strict=True)]
         rows = self.rows(q)
-        if self.narrow:
+        for p, c in zip(r.parent, r.child, strict=True):
+            if given and p in given:
+                rows = rows.where(self.column(Simple("=", Field(c), Literal(given[p])), t, None))
+        if parents is not None:
             here = [_unique("h") for _ in r.parent]
-            parents = df.select(*(F.col(f"`{p}`").alias(h) for p, h in zip(r.parent, here, strict=True))).distinct()
-            rows = rows.join(parents, [rows[f"`{c}`"] == parents[h] for c, h in zip(r.child, here, strict=True)], "left_semi")
+            at = few(parents.select(*(F.col(f"`{p}`").alias(h) for p, h in zip(r.parent, here, strict=True))).distinct(), most)
+            rows = rows.join(at, [rows[f"`{c}`"] == at[h] for c, h in zip(r.child, here, strict=True)], "left_semi")
         if q.precomputed:
             value = [c for c in t.columns if c not in r.child]
             child = rows.select(*named, F.col(f"`{value[-1]}`").alias(name))
@@ -254,9 +272,11 @@ class Lowering:
             if q.limit == 0:
                 rows = rows.where(F.lit(False))
             order, rank = completed(q.order_by, t), _unique("o")
-            rows = ranked(rows, order, list(r.child), rank, 1 if q.one else q.limit or None)
+            place = None if q.one or q.limit else sort_key(order, t)
+            rows = ranked(rows, order, list(r.child), rank, 1 if q.one else q.limit or None) if place is None else rows.withColumn(rank, place)
             ranks = rows.select(F.col(rank), *(F.col(f"`{c}`") for c in t.columns))
-            payload = self._child_rows(q, ranks, rank, r)
+            each = 1 if q.one or set(t.key) <= set(r.child) else q.limit
+            payload = self._child_rows(q, ranks, rank, r, parents is not None, None if most is None or each is None else most * each)
             child = payload.groupBy(*keys_of(payload, len(keys))).agg(F.sort_array(F.collect_list(F.struct(F.col(rank).alias("o"), F.col("__v").alias("v")))).alias(name))
             child = child.toDF(*keys, name).withColumn(name, F.transform(F.col(f"`{name}`"), lambda x: x["v"]))
         child = child.where(" and ".join(f"{k} is not null" for k in keys))
@@ -269,7 +289,7 @@ class Lowering:
             return out.withColumn(name, F.try_element_at(F.col(f"`{name}`"), F.lit(1)))
         return out.withColumn(name, F.coalesce(F.col(f"`{name}`"), F.array().cast(kind)))
 
-    def _child_rows(self, q: Query, rows: DataFrame, rank: str, r: Related) -> DataFrame:
+    def _child_rows(self, q: Query, rows: DataFrame, rank: str, r: Related, narrow: bool, most: int | None) -> DataFrame:
         """Correlation fields, rank and payload of the child rows, with their own children in it."""
         t = self.catalog[q.table]
         keys = [_unique("x") for _ in r.child]
@@ -279,24 +299,24 @@ class Lowering:
             self.footprint.append((t, rows, None))
         related = _children(q)
         names = [x.query.alias for x in related]
-        made = []
+        made, whole = [], rows
         for x in related:
             name = _unique("r")
-            rows = self._attach(rows, x, name)
+            rows = self._attach(rows, x, name, whole if narrow else None, most, _given(q))
             made.append(F.col(name).alias(x.query.alias))
         shown = [c for c in (q.select if q.select is not None else t.columns) if c not in names]
         return rows.select(*keys, rank, F.struct(*(F.col(f"`{c}`") for c in dict.fromkeys(shown)), *made).alias("__v"))
 
-    def lower(self, q: Query, keep: DataFrame | None = None, project: bool = True, ordered: bool = True) -> DataFrame:
-        """The query's frame; with ``keep`` (keys of the root table) only of those rows."""
+    def lower(self, q: Query, keep: DataFrame | None = None, project: bool = True, ordered: bool = True, most: int | None = None) -> DataFrame:
+        """The query's frame; with ``keep`` (keys of the root table, ``most`` of them) only of those rows."""
         self.check(q)
         t = self.catalog[q.table]
         if q.aggregate is not None:
-            df = aggregated(self.rows(q, keep), q.aggregate, t, list(q.group_by))
+            df = aggregated(self.rows(q, keep, most), q.aggregate, t, list(q.group_by))
             return df if q.having is None else df.where(self.column(q.having, TableDef(q.table, df, tuple(df.columns)), None))
-        df = first_rows(self.rows(q, keep), q, t)
-        self.narrow = self.narrow or keep is not None
-        out = self.nested(q, df)
+        df = first_rows(self.rows(q, keep, most), q, t)
+        bounds = [n for n in (most, q.limit, 1 if set(t.key) <= set(_given(q)) else None) if n is not None]
+        out = self.nested(q, df, min(bounds, default=None), narrow=keep is not None)
         if ordered:
             out = out.orderBy(*sort_columns(completed(q.order_by, t)))
         return shown(out, q, t) if project else out
@@ -319,6 +339,11 @@ def keys_of(df: DataFrame, n: int) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns[:n]]
 
 
+def _given(q: Query) -> dict[str, object]:
+    """The columns that a query binds to one value."""
+    return {c.left.name: c.right.value for c in (_conjuncts(q.where) if q.where is not None else ()) if isinstance(c, Simple) and c.op == "=" and isinstance(c.left, Field) and isinstance(c.right, Literal) and c.right.value is not None}
+
+
 def _conjuncts(c: Condition):
     if isinstance(c, Group) and c.kind == "and":
         for x in c.conditions:
