@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from millrace.errors import ConsistencyViolation, SchemaViolation
 from millrace.sources.catalog import TableDef, checked
+from millrace.plans.keys import FEW, few
 from millrace.sources.storage import stored
 
 
@@ -92,7 +93,12 @@ def images(table: TableDef, batch: DataFrame) -> DataFrame:
 
 
 def net(table: TableDef, batch: DataFrame) -> DataFrame:
-    """``(__key..., before, after)``, stored: one row for each key that the batch changes, checked against the table.
+    """The frame of :func:`net_counted` alone."""
+    return net_counted(table, batch)[0]
+
+
+def net_counted(table: TableDef, batch: DataFrame) -> tuple[DataFrame, int]:
+    """``(__key..., before, after)``, stored, and its number of rows: one for each key that the batch changes, checked against the table.
 
     Within a batch, changes of one key follow ``seq``.  A batch that adds a key
     that is there, or removes or edits one that isn't, is refused whole.
@@ -100,47 +106,49 @@ def net(table: TableDef, batch: DataFrame) -> DataFrame:
     """
     keys, row = [f"__{c}" for c in table.key], batch.schema["new"].dataType
     w = Window.partitionBy(*keys).orderBy("seq", "step")
-    flat = images(table, batch).withColumn("__there", F.lag(F.col("after").isNotNull()).over(w))
+    flat = stored(images(table, batch))
+    n = flat.count()
+    flat = flat.coalesce(1) if n <= FEW else flat  # in one partition nothing below is exchanged
     base = table.df.select(*(F.col(f"`{c}`").alias(f"__{c}") for c in table.key), F.struct(*(F.col(f"`{c}`") for c in table.columns)).cast(row).alias("__old"))
-    known = flat.join(base, keys, "left")
+    base = base.join(few(flat.select(*keys).distinct(), n), keys, "left_semi")
+    known = flat.withColumn("__there", F.lag(F.col("after").isNotNull()).over(w)).join(few(base, n), keys, "left")
     wrong = F.coalesce("__there", F.col("__old").isNotNull()) != F.col("before").isNotNull()
     by_key = known.groupBy(*keys).agg(F.max_by(F.struct(F.col("after").alias("row")), F.struct("seq", "step")).alias("x"), F.first("__old").alias("before"), F.max("bad").alias("bad"), F.max(wrong).alias("wrong"))
     checked_ = stored(by_key.select(*keys, "before", F.col("x.row").alias("after"), "bad", "wrong"))
-    for r in checked_.where("bad or wrong").select("bad", *keys).limit(3).collect():
+    differs = ~F.col("before").eqNullSafe(F.col("after"))
+    left, refused = checked_.agg(F.count_if(differs), F.max(F.col("bad") | F.col("wrong"))).first()
+    for r in checked_.where("bad or wrong").select("bad", *keys).limit(3).collect() if refused else ():
         if r[0]:
             raise SchemaViolation(f"{table.name}: a change of {tuple(r)[1:]} lacks its operation or its rows")
         raise ConsistencyViolation(f"{table.name}: {tuple(r)[1:]} is added although there, or removed or edited although not")
-    return checked_.select(*keys, "before", "after").where("before is not null or after is not null").where(~F.col("before").eqNullSafe(F.col("after")))
+    return checked_.where(differs).select(*keys, "before", "after"), left
 
 
-def applied(table: TableDef, changed: DataFrame) -> DataFrame:
-    """The table's rows after a net batch."""
+def applied(table: TableDef, changed: DataFrame, most: int | None = None) -> DataFrame:
+    """The table's rows after a net batch of at most ``most`` rows."""
     keys = changed.select(*(F.col(f"__{c}").alias(c) for c in table.key))
     new = changed.where("after is not null").select("after.*")
-    return table.df.join(keys, list(table.key), "left_anti").unionByName(new)
+    return table.df.join(few(keys, most), list(table.key), "left_anti").unionByName(new)
 
 
 def difference(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """``(op, old, new)`` between two frames of one schema with a key: a full outer join on it."""
-    cols = old.columns
-    pack = lambda df, n: df.select(*(F.col(f"`{c}`").alias(f"__{c}") for c in key), F.struct(*(F.col(f"`{c}`") for c in cols)).alias(n))
-    both = pack(old, "old").join(pack(new, "new"), [f"__{c}" for c in key], "full_outer").where(~F.col("old").eqNullSafe(F.col("new")))
-    op = F.when(F.col("old").isNull(), "add").when(F.col("new").isNull(), "remove").otherwise("edit")
-    return both.select(op.alias("op"), "old", "new")
+    """``(op, old, new)`` between two frames of one schema with a key, met in one exchange; nulls in keys are equal."""
+    cols, keys = old.columns, [f"__{c}" for c in key]
+
+    def pack(df, name, other):
+        row = F.struct(*(F.col(f"`{c}`") for c in cols))
+        kind = df.select(row.alias("x")).schema["x"].dataType
+        return df.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(key, keys, strict=True)), row.alias(name), F.lit(None).cast(kind).alias(other))
 
+    both = pack(old, "old", "new").unionByName(pack(new, "new", "old"))
+    met = both.groupBy(*keys).agg(F.first("old", ignorenulls=True).alias("old"), F.first("new", ignorenulls=True).alias("new"))
+    op = F.when(F.col("old").isNull(), "add").when(F.col("new").isNull(), "remove").otherwise("edit")
+    return met.where(~F.col("old").eqNullSafe(F.col("new"))).select(op.alias("op"), "old", "new")
 
-def replayed(old: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
-    """``old`` with the changes of :func:`difference` made to it."""
-    touched = changes.select(*(F.coalesce(F.col(f"new.`{c}`"), F.col(f"old.`{c}`")).alias(c) for c in key))
-    return old.join(touched, key, "left_anti").unionByName(changes.where("new is not null").select("new.*"))
 
+def replayed(old: DataFrame, changes: DataFrame, key: list[str], most: int | None = None) -> DataFrame:
+    """``old`` with the changes of :func:`difference` (at most ``most``) made to it; nulls in keys are equal."""
+    touched = few(changes.select(*(F.when(F.col("new").isNotNull(), F.col(f"new.`{c}`")).otherwise(F.col(f"old.`{c}`")).alias(f"__{c}") for c in key)), most)
+    same = [old[f"`{c}`"].eqNullSafe(touched[f"__{c}"]) for c in key]
+    return old.join(touched, same, "left_anti").unionByName(changes.where("new is not null").select("new.*"))
 
-def split_edits(batch: DataFrame, columns: list[str]) -> DataFrame:
-    """Edits that change one of ``columns`` as a remove and an add, others as they are."""
-    moved = F.lit(False)
-    for c in columns:
-        moved = moved | ~F.col(f"old.{c}").eqNullSafe(F.col(f"new.{c}"))
-    none = F.lit(None).cast(batch.schema["new"].dataType)
-    one = lambda op, old, new: F.struct("seq", F.lit(op).alias("op"), old.alias("old"), new.alias("new"))
-    parts = F.when((F.col("op") == "edit") & moved, F.array(one("remove", F.col("old"), none), one("add", none, F.col("new")))).otherwise(F.array(F.struct("seq", "op", "old", "new")))
-    return batch.select(F.explode(parts).alias("c")).select("c.*")

@@ -6,7 +6,6 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from millrace.errors import Invalid, UnknownColumn
 from millrace.functions.predicates import predicate
@@ -31,28 +30,6 @@ def sort_columns(order: list[tuple[str, str]]) -> list[Column]:
     return [F.col(f"`{c}`").asc_nulls_first() if way == "asc" else F.col(f"`{c}`").desc_nulls_last() for c, way in order]
 
 
-def sort_key(order: list[tuple[str, str]], table: TableDef) -> Column | None:
-    """One ascending key that orders as ``order`` does; None where a column can't be turned round."""
-    parts = []
-    for c, way in order:
-        col, t = F.col(f"`{c}`"), table.kind(c)
-        if way == "asc":
-            parts.append(col)
-            continue
-        if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-            turned = [F.bitwise_not(col)]
-        elif isinstance(t, T.DateType):
-            turned = [F.bitwise_not(F.unix_date(col))]
-        elif isinstance(t, T.DecimalType):
-            turned = [-col]
-        elif isinstance(t, (T.FloatType, T.DoubleType)):
-            turned = [~F.isnan(col), -col]
-        else:
-            return None
-        parts += [col.isNull(), *turned]
-    return F.struct(*(p.alias(f"s{i}") for i, p in enumerate(parts)))
-
-
 def _beyond(col: Column, t, way: str, v: Any) -> Column:
     """Strictly after ``v`` in this column's order."""
     if way == "asc":
@@ -68,12 +45,7 @@ def from_start(df: DataFrame, q: Query, table: TableDef) -> DataFrame:
     """
     if q.start is None:
         return df
-    kept, tied = after_row(dict(q.start.row), q, table)
-    return df.where(kept if q.start.exclusive else kept | tied)
-
-
-def after_row(row: dict[str, Any], q: Query, table: TableDef) -> tuple[Column, Column]:
-    """Whether a row comes after ``row`` in a query's order, and whether it ties with it."""
+    row = dict(q.start.row)
     order = completed(q.order_by, table)
     for c in row:
         if c not in table.columns:
@@ -83,7 +55,22 @@ def after_row(row: dict[str, Any], q: Query, table: TableDef) -> tuple[Column, C
         col, t, v = F.col(f"`{c}`"), table.kind(c), row.get(c)
         kept = kept | (tied & _beyond(col, t, way, v))
         tied = tied & predicate(col, t, "IS", v)
-    return kept, tied
+    return df.where(kept if q.start.exclusive else kept | tied)
+
+
+def after_texts(row: dict[str, str | None], order: list[tuple[str, str]], table: TableDef) -> Column:
+    """Whether a row comes after one whose sort columns are given as text, in the order that sorting has."""
+    beyond, tied = F.lit(False), F.lit(True)
+    for c, way in order:
+        col = F.col(f"`{c}`")
+        if row[c] is None:
+            more, same = col.isNotNull() if way == "asc" else F.lit(False), col.isNull()
+        else:
+            v = F.lit(row[c]).cast(table.kind(c))
+            more = F.coalesce(col > v, F.lit(False)) if way == "asc" else F.coalesce(col < v, F.lit(True))
+            same = F.coalesce(col == v, F.lit(False))
+        beyond, tied = beyond | (tied & more), tied & same
+    return beyond
 
 
 def first_rows(df: DataFrame, q: Query, table: TableDef) -> DataFrame:

@@ -17,23 +17,15 @@ from pyspark.sql import types as T
 from millrace.errors import Invalid, Unsupported
 from millrace.functions.predicates import predicate, simple
 from millrace.operators.aggregates import aggregated, checked
-from millrace.operators.paging import completed, first_rows, from_start, ranked, sort_columns, sort_key
+from millrace.operators.paging import completed, first_rows, from_start, ranked, sort_columns
 from millrace.plans.ast import Column as Field
 from millrace.plans.ast import Condition, Gate, Group, Literal, Query, Related, Simple, gates
+from millrace.plans.keys import few
 from millrace.sources.catalog import Catalog, TableDef
 
 _ids = itertools.count()
 
 
-#: Rows of keys up to which a side is broadcast; how many there are is known before.
-FEW = 10_000
-
-
-def few(keys: DataFrame, most: int | None) -> DataFrame:
-    """A frame of keys, broadcast where it is known to have few rows."""
-    return F.broadcast(keys) if most is not None and most <= FEW else keys
-
-
 def _unique(name: str) -> str:
     return f"__{name}{next(_ids)}"
 
@@ -272,8 +264,7 @@ class Lowering:
             if q.limit == 0:
                 rows = rows.where(F.lit(False))
             order, rank = completed(q.order_by, t), _unique("o")
-            place = None if q.one or q.limit else sort_key(order, t)
-            rows = ranked(rows, order, list(r.child), rank, 1 if q.one else q.limit or None) if place is None else rows.withColumn(rank, place)
+            rows = ranked(rows, order, list(r.child), rank, 1 if q.one else q.limit or None)
             ranks = rows.select(F.col(rank), *(F.col(f"`{c}`") for c in t.columns))
             each = 1 if q.one or set(t.key) <= set(r.child) else q.limit
             payload = self._child_rows(q, ranks, rank, r, parents is not None, None if most is None or each is None else most * each)

@@ -3,27 +3,34 @@
 A batch is netted to one change a key and checked.  Then each view works out
 which of its roots the batch can have touched, by walking the correlations from
 the changed rows up to the root, evaluates the query for those roots only, and
-compares with what it held of them.  Roots under a limit are evaluated whole.
+compares with what it held of them.  Under a root limit the touched rows up to
+the last row held are merged with what is held; only where that leaves too few
+rows is the query run whole.
 Root aggregates over exact types merge signed partial sums; others are summed
 afresh, for the touched groups only.
 """
 
 from __future__ import annotations
 
+import threading
 import time
+import uuid
+from collections import Counter
 from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.errors import DeadlineExceeded, Invalid
 from millrace.operators import changes as ch
 from millrace.operators.aggregates import exact, finished, summed
-from millrace.operators.paging import completed, sort_columns
+from millrace.operators.paging import after_texts, completed, first_rows, sort_columns
 from millrace.plans.ast import Column as Field
 from millrace.plans.ast import Group, Literal, Query, Simple, gates
 from millrace.plans.builder import Builder
+from millrace.plans.keys import FEW, few
 from millrace.plans.lower import Lowering, shown
 from millrace.sources.catalog import Catalog, TableDef
 from millrace.sources.storage import stored
@@ -47,6 +54,7 @@ class View:
     status: str = "unknown"
     users: int = 0
     pinned: bool = False
+    last: Row | None = None  # under a root limit: the last row held, sort columns as text, where all places are taken
 
     @property
     def table(self) -> TableDef:
@@ -60,6 +68,7 @@ class View:
     def hydrate(self) -> View:
         """Evaluate the query whole."""
         self.snapshot = stored(self._fresh(self.engine.catalog))
+        self._hold_last()
         if self._merges:
             self.state = stored(self._partials(self.engine.catalog[self.query.table].df))
         self.status = "complete"
@@ -70,8 +79,15 @@ class View:
         a = self.query.aggregate
         return a is not None and (a.kind == "count" or exact(self.table.kind(a.column)))
 
-    def _fresh(self, catalog: Catalog, keep: DataFrame | None = None) -> DataFrame:
-        return Lowering(catalog, self.engine.strict).lower(self.query, keep=keep, project=False, ordered=False)
+    def _fresh(self, catalog: Catalog, keep: DataFrame | None = None, most: int | None = None) -> DataFrame:
+        return Lowering(catalog, self.engine.strict).lower(self.query, keep=keep, project=False, ordered=False, most=most)
+
+    def _hold_last(self) -> None:
+        q = self.query
+        if q.aggregate is None and q.limit:
+            order = completed(q.order_by, self.table)
+            rows = self.snapshot.orderBy(*sort_columns(order)).offset(q.limit - 1)
+            self.last = rows.select(*(F.col(f"`{c}`").cast("string").alias(c) for c, _ in order)).head()
 
     def data(self) -> DataFrame:
         """The view's rows, in its order and columns."""
@@ -89,44 +105,58 @@ class View:
 
     # --- maintenance --------------------------------------------------------------
 
-    def apply(self, changed: dict[str, DataFrame], catalog: Catalog) -> DataFrame | None:
-        """The view's ``(op, old, new)`` of a net batch; none where no row can matter."""
+    def apply(self, changed: dict[str, tuple[DataFrame, int]], catalog: Catalog) -> DataFrame:
+        """The view's ``(op, old, new)`` of a net batch (frames and their numbers of rows) that may matter to it."""
         changed = {n: c for n, c in changed.items() if n in tables_of(self.query)}
-        if not changed or not self._may_matter(changed):
-            return None
         if self.query.aggregate is not None:
-            return self._apply_groups(changed[self.query.table], catalog)
-        t = catalog[self.query.table]
+            return self._apply_groups(changed[self.query.table][0], catalog)
+        touched, most = touched_rows(self.query, changed, self.engine.catalog, catalog, self.key)
+        touched = touched.distinct()
+        if most is None or most > FEW:
+            touched = stored(touched)
+            most = touched.count()
         if self.query.limit is not None:
-            new = stored(self._fresh(catalog))
-            delta = stored(ch.difference(self.snapshot, new, self.key))
-            self.snapshot = new
-            return delta
-        touched = stored(touched_rows(self.query, changed, self.engine.catalog, catalog).select(*t.key).distinct())
-        new = stored(self._fresh(catalog, keep=touched))
-        old = self.snapshot.join(touched, self.key, "left_semi")
-        delta = stored(ch.difference(old, new, self.key))
-        self.snapshot = self.engine.settled(self.snapshot.join(touched, self.key, "left_anti").unionByName(new))
+            return self._apply_limited(touched, most, catalog)
+        self.engine.counters["views_by_touched_rows"] += 1
+        old = self.snapshot.join(few(touched, most), self.key, "left_semi")
+        delta = stored(ch.difference(old, self._fresh(catalog, touched, most), self.key))
+        self.snapshot = self.engine.settled(ch.replayed(self.snapshot, delta, self.key, most))
         return delta
 
-    def _may_matter(self, changed: dict[str, DataFrame]) -> bool:
-        """Whether some changed row satisfies the equalities that the view asks of its table."""
-        for name, rows in changed.items():
-            guards = guards_of(self.query, name)
-            if None in guards:
-                return True
-            keep = F.lit(False)
-            for g in guards:
-                both = F.lit(False)
-                for image in ("before", "after"):
-                    all_ = F.col(image).isNotNull()
-                    for c, values in g:
-                        all_ = all_ & F.col(f"{image}.{c}").isin(*values)
-                    both = both | all_
-                keep = keep | both
-            if rows.where(keep).limit(1).count():
-                return True
-        return False
+    def _apply_limited(self, touched: DataFrame, most: int, catalog: Catalog) -> DataFrame:
+        """The rows held and the touched ones up to the last row held, in order; the query whole where they are too few."""
+        q, t, old = self.query, catalog[self.query.table], self.snapshot
+        lowering = Lowering(catalog, self.engine.strict)
+        there = old.join(few(touched, most), self.key, "left_anti")
+        found = lowering.rows(q, touched, most)
+        if self.last is not None:
+            found = found.where(~after_texts(self.last.asDict(), completed(q.order_by, t), t))
+        pool = there.select(*(F.col(f"`{c}`") for c in t.columns), F.lit(True).alias("__there")).unionByName(found.withColumn("__there", F.lit(False)))
+        top = stored(first_rows(pool, q, t))
+        if self.last is not None and top.count() < q.limit:
+            self.engine.counters["views_whole"] += 1
+            new = self._fresh(catalog)
+        else:
+            self.engine.counters["views_by_touched_rows"] += 1
+            stay = there.join(few(top.where("__there").select(*self.key), q.limit), self.key, "left_semi")
+            new = stay.unionByName(lowering.nested(q, top.where("not __there").drop("__there"), min(q.limit, most)))
+        self.snapshot = stored(new)
+        self._hold_last()
+        return stored(ch.difference(old, self.snapshot, self.key))
+
+    def may_matter(self, name: str) -> Column | None:
+        """Whether a changed row of a table satisfies the equalities that the view asks of it; None if any row may matter."""
+        guards = guards_of(self.query, name)
+        if None in guards:
+            return None
+        keep = F.lit(False)
+        for g in guards:
+            for image in ("before", "after"):
+                all_ = F.col(image).isNotNull()
+                for c, values in g:
+                    all_ = all_ & F.coalesce(F.col(f"{image}.{c}").isin(*values), F.lit(False))
+                keep = keep | all_
+        return keep
 
     def _partials(self, rows: DataFrame) -> DataFrame:
         q, t = self.query, self.table
@@ -155,6 +185,7 @@ class View:
             new = stored(new)
         else:
             new = stored(self._fresh_groups(rows, catalog, by))
+        self.engine.counters["views_by_groups"] += 1
         delta = stored(ch.difference(self.snapshot, new, by)) if by else stored(_single(self.snapshot, new))
         self.snapshot = new
         return delta
@@ -201,25 +232,67 @@ def guards_of(q: Query, table: str) -> list:
     return out
 
 
-def touched_rows(q: Query, changed: dict[str, DataFrame], before: Catalog, after: Catalog) -> DataFrame:
-    """Rows of a query's table, old or new, below or at which the batch changed something."""
+def touched_rows(q: Query, changed: dict[str, tuple[DataFrame, int]], before: Catalog, after: Catalog, want: list[str]) -> tuple[DataFrame, int | None]:
+    """Columns ``want`` of the rows of a query's table, old or new, below or at which the batch changed something; and a bound on their number, where one is known.
+
+    A row's correlation fields come from its changed children where they are
+    all that is wanted, so rows may be named that aren't there.
+    """
     t = after[q.table]
-    parts = []
+    parts: list[tuple[DataFrame, int | None]] = []
     if q.table in changed:
-        rows = changed[q.table]
-        parts += [rows.where(f"{image} is not null").select(f"{image}.*") for image in ("before", "after")]
+        rows, n = changed[q.table]
+        parts += [(rows.where(f"{image} is not null").select(*(F.col(f"{image}.`{c}`").alias(c) for c in want)), n) for image in ("before", "after")]
     for r in (*q.related, *(g.related for g in gates(q.where))):
         if not tables_of(r.query) & set(changed):
             continue
-        below = touched_rows(r.query, changed, before, after)
-        keys = below.select(*(F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(r.child))).distinct()
-        for catalog in (before, after):
-            rows = catalog[q.table].df
-            parts.append(rows.join(keys, [rows[f"`{p}`"] == keys[f"__{i}"] for i, p in enumerate(r.parent)], "left_semi"))
-    out = parts[0] if parts else t.df.where(F.lit(False))
-    for p in parts[1:]:
+        below, n = touched_rows(r.query, changed, before, after, list(dict.fromkeys(r.child)))
+        if set(want) <= set(r.parent):
+            child = dict(zip(r.parent, r.child, strict=True))
+            same = F.lit(True)
+            for p, c in zip(r.parent, r.child, strict=True):
+                same = same & F.col(f"`{c}`").isNotNull() & (F.col(f"`{c}`") == F.col(f"`{child[p]}`"))
+            parts.append((below.where(same).select(*(F.col(f"`{child[c]}`").try_cast(t.kind(c)).alias(c) for c in want)), n))
+            continue
+        keys = few(below.select(*(F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(r.child))).distinct(), n)
+        unique = any(set(u) <= set(r.parent) for u in (t.key, *t.unique))
+        for rows in dict.fromkeys((before[q.table].df, after[q.table].df)):
+            found = rows.join(keys, [rows[f"`{p}`"] == keys[f"__{i}"] for i, p in enumerate(r.parent)], "left_semi")
+            parts.append((found.select(*(F.col(f"`{c}`") for c in want)), n if unique else None))
+    if not parts:
+        return t.df.where(F.lit(False)).select(*(F.col(f"`{c}`") for c in want)), 0
+    out = parts[0][0]
+    for p, _ in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out, None if any(n is None for _, n in parts) else sum(n for _, n in parts)
+
+
+@contextmanager
+def _until(spark: SparkSession, seconds: float | None):
+    """Cancel this thread's Spark jobs once the time is over."""
+    if seconds is None:
+        yield
+        return
+    context, group = spark.sparkContext, f"deadline-{uuid.uuid4().hex}"
+    passed = threading.Event()
+
+    def cancel():
+        passed.set()
+        context.cancelJobGroup(group)
+
+    before = context.getLocalProperty("spark.jobGroup.id")
+    context.setJobGroup(group, "a batch under a deadline", interruptOnCancel=True)
+    timer = threading.Timer(seconds, cancel)
+    timer.start()
+    try:
+        yield
+    except Exception as e:
+        if passed.is_set():
+            raise DeadlineExceeded(f"the batch took more than {seconds} s") from e
+        raise
+    finally:
+        timer.cancel()
+        context.setLocalProperty("spark.jobGroup.id", before)
 
 
 class Engine:
@@ -230,6 +303,7 @@ class Engine:
         self.batches = 0
         self.views: dict[str, View] = {}
         self.last_batch: int | None = None
+        self.counters: Counter[str] = Counter()
 
     def register(self, name: str, df: DataFrame, key: list[str] | tuple[str, ...], **options) -> TableDef:
         """Add a table."""
@@ -292,28 +366,40 @@ class Engine:
         """Apply a batch (table to changes) to tables and views; each view's changes by name.
 
         Nothing is changed if the batch is refused or the deadline (in seconds)
-        passes.  A batch whose id isn't above the last one's is skipped.
+        passes: then the job that runs is cancelled.  A batch whose id isn't
+        above the last one's is skipped.
         """
         if batch_id is not None and self.last_batch is not None and batch_id <= self.last_batch:
+            self.counters["batches_skipped"] += 1
             return {}
         began = time.monotonic()
-        changed = {n: ch.net(self.catalog[n], df) for n, df in batch.items()}
-        changed = {n: c for n, c in changed.items() if c.limit(1).count()}
-        after = self.catalog.replaced({n: self.settled(ch.applied(self.catalog[n], c)) for n, c in changed.items()})
-        kept = {n: (v.snapshot, v.state) for n, v in self.views.items()}
+        kept = {n: (v.snapshot, v.state, v.last) for n, v in self.views.items()}
+        counted, begun = Counter(self.counters), False
         out: dict[str, DataFrame] = {}
         try:
-            for name, v in self.views.items():
-                if deadline is not None and time.monotonic() - began > deadline:
-                    raise DeadlineExceeded(f"the batch took more than {deadline} s")
-                if (delta := v.apply(changed, after)) is not None:
-                    out[name] = delta
+            with _until(self.spark, deadline):
+                changed = {n: ch.net_counted(self.catalog[n], df) for n, df in batch.items()}
+                changed = {n: c for n, c in changed.items() if c[1]}
+                after = self.catalog.replaced({n: self.settled(ch.applied(self.catalog[n], *c)) for n, c in changed.items()})
+                begun = True
+                for v in self._mattering({n: c for n, (c, _) in changed.items()}):
+                    if deadline is not None and time.monotonic() - began > deadline:
+                        raise DeadlineExceeded(f"the batch took more than {deadline} s")
+                    out[v.name] = v.apply(changed, after)
         except Exception:
-            for n, (snapshot, state) in kept.items():
-                self.views[n].snapshot, self.views[n].state, self.views[n].status = snapshot, state, "error"
+            self.counters = counted
+            self.counters["batches_refused"] += 1
+            for n, (snapshot, state, last) in kept.items():
+                v = self.views[n]
+                v.snapshot, v.state, v.last = snapshot, state, last
+                v.status = "error" if begun else v.status
             raise
         self.catalog, self.last_batch = after, batch_id if batch_id is not None else self.last_batch
         self.batches += 1
+        self.counters["batches"] += 1
+        self.counters.update({f"rows_changed.{n}": c for n, (_, c) in changed.items()})
+        self.counters["views_untouched"] += len(self.views) - len(out)
+        self.counters["apply_ms"] += round(1000 * (time.monotonic() - began))
         for v in self.views.values():
             v.status = "complete"
         for name, delta in out.items():
@@ -321,6 +407,21 @@ class Engine:
                 listener(delta)
         return out
 
+    def _mattering(self, changed: dict[str, DataFrame]) -> list[View]:
+        """The views that the batch may matter to; a changed table is read once for all their guards."""
+        matter: set[str] = set()
+        for table, rows in changed.items():
+            asked = {n: v.may_matter(table) for n, v in self.views.items() if table in tables_of(v.query)}
+            matter |= {n for n, keep in asked.items() if keep is None}
+            names = [n for n in asked if n not in matter]
+            if names:
+                matter |= {n for n, hit in zip(names, rows.agg(*(F.max(asked[n]) for n in names)).first(), strict=True) if hit}
+        return [v for n, v in self.views.items() if n in matter]
+
+    def metrics(self) -> DataFrame:
+        """``(name, value)`` of what has been counted: batches, changed rows by table, how views were maintained, time."""
+        return self.spark.createDataFrame(sorted(self.counters.items()), "name string, value long")
+
     def settled(self, df: DataFrame) -> DataFrame:
         """Tables and snapshots after a batch: the frame before it, less the rows that changed, and their new images.
 

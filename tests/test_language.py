@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import itertools
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.errors import ConsistencyViolation, DeadlineExceeded, Invalid, SchemaViolation, UnknownColumn, UnknownRelationship, UnknownTable, Unsupported
 from millrace.functions.predicates import spark_pattern
@@ -327,3 +329,53 @@ def test_filters_reach_the_scan(spark, tmp_path):
     df = Lowering(c).lower(table("artist").where("country", "de").where(gt("id", 2)).select("name").build())
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(country,de)" in plan and "GreaterThan(id,2)" in plan
+
+
+def test_limited_view_takes_refills_and_leaves(spark):
+    e = Engine(spark)
+    t = e.register("t", spark.createDataFrame([(i, float(i % 7), i % 3) for i in range(60)], "id long, x double, g long"), ["id"])
+    e.register("c", spark.createDataFrame([(i, i % 60) for i in range(150)], "cid long, t long"), ["cid"])
+    v = e.view(table("t").where("g", 1).order_by("x", "desc").limit(6).count_as("n", lambda p: table("c").where("t", p.id)))
+    rows = lambda df: sorted(map(repr, df.collect()))
+    batches = [
+        {"t": ch.adds(t, spark.createDataFrame([(100, 99.0, 1), (101, -5.0, 1), (102, None, 1)], "id long, x double, g long"))},
+        {"c": ch.adds(e.catalog["c"], spark.createDataFrame([(900, 100), (901, 4)], "cid long, t long"))},
+        {"t": ch.removes(t, spark.createDataFrame([(100, 99.0, 1)], "id long, x double, g long"))},
+        {"t": ch.edits(t, t.df.where("id = 13"), t.df.where("id = 13").withColumn("x", F.lit(50.0)))},
+    ]
+    whole = []
+    for b in batches:
+        before = v.snapshot
+        delta = next(iter(e.apply(b).values()))
+        assert rows(v.data()) == rows(e.query(v.query))
+        assert rows(ch.replayed(before, delta, ["id"])) == rows(v.snapshot)
+        whole.append(e.counters["views_whole"])
+    assert whole == [0, 0, 1, 1]  # only the row that left a full page asks for the query whole
+    told = {r.name: r.value for r in e.metrics().collect()}
+    assert told["batches"] == 4 and told["rows_changed.t"] == 5 and told["views_by_touched_rows"] == 3
+
+
+def test_children_are_cut_to_the_page_before_the_window(spark, tmp_path):
+    spark.range(1000).selectExpr("id", "id % 100 as parent", "id as x").write.parquet(str(tmp_path / "c.parquet"))
+    spark.range(100).write.parquet(str(tmp_path / "p.parquet"))
+    e = Engine(spark)
+    e.register("p", spark.read.parquet(str(tmp_path / "p.parquet")), ["id"])
+    e.register("c", spark.read.parquet(str(tmp_path / "c.parquet")), ["id"])
+    plan = e.query(table("p").order_by("id").limit(5).sub("c", lambda p: table("c").where("parent", p.id).limit(2)))._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Window ") :]
+    assert "LeftSemi" in below and "rightHint=(strategy=broadcast)" in below
+    bound = e.query(table("p").where("id", 7).sub("c", lambda p: table("c").where("parent", p.id)))
+    assert "PushedFilters: [IsNotNull(parent), EqualTo(parent,7)]" in bound._jdf.queryExecution().toString()
+    assert len(bound.head()["c"]) == 10
+
+
+def test_deadline_cancels_a_running_job(spark):
+    e = Engine(spark)
+    t = e.register("t", spark.range(10).toDF("id"), ["id"])
+    v = e.view(table("t"))
+    slow = spark.range(100, 108, 1, 8).select(F.udf(lambda x: __import__("time").sleep(6) or x, "long")("id").alias("id"))
+    began = time.monotonic()
+    with pytest.raises(DeadlineExceeded):
+        e.apply({"t": ch.adds(t, slow)}, deadline=3)
+    assert time.monotonic() - began < 11 and v.data().count() == 10
+    assert e.apply({"t": ch.adds(t, spark.range(50, 51).toDF("id"))}, deadline=600) and v.data().count() == 11
