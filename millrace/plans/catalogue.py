@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import changes as ch
-from millrace.operators.flat import levels
+from millrace.operators.flat import flat_changes, levels
 from millrace.plans.ast import from_json, to_json
 from millrace.plans.builder import (
     Builder, all_of, any_of, compare, define_query, eq, exists, folded, fragment, ge, gt, ilike, in_list, is_, is_not, is_not_null, is_null, le, like, lt, ne, not_exists, not_ilike, not_in_list, not_like, rel, table,
 )
 from millrace.plans.lower import Lowering
 from millrace.sources.catalog import Catalog, from_parquet
-from millrace.streaming.driver import Optimistic, follow
+from millrace.streaming.driver import Optimistic, assembled_text, follow, grouped_counts
 from millrace.streaming.views import Engine
 
 #: Keys of the test tables; lineitem has none but its whole row.
@@ -331,6 +331,32 @@ QUERIES["v_replay"] = _replay
 ORACLE_SQL["v_replay"] = f"SELECT o_orderkey, (SELECT count(*) FROM {NEW_ITEMS} WHERE l_orderkey = o_orderkey) AS n FROM {NEW_ORDERS} WHERE o_totalprice > 300000"
 
 
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Engine(spark, catalog(spark, sf_dir))
+    e.view(table("orders").where_exists(_items()))
+    e.view(table("nation"))
+    e.apply(batch(e.catalog))
+    return e.metrics().where("name != 'apply_ms'")
+
+
+QUERIES["v_metrics"] = _metrics
+ORACLE_SQL["v_metrics"] = "SELECT 'batches' AS name, CAST(1 AS BIGINT) AS value UNION ALL SELECT 'views_by_touched_rows', 1 UNION ALL SELECT 'views_untouched', 1 UNION ALL SELECT 'rows_changed.orders', (SELECT count(*) FROM orders WHERE o_orderkey % 97 = 0) + (SELECT count(*) FROM orders WHERE o_orderkey % 97 <> 0 AND (o_orderkey % 53 = 0 OR (o_orderkey % 101 = 0 AND o_custkey <> o_custkey % 100 + 1))) + (SELECT count(*) FROM orders WHERE o_orderkey % 89 = 0) UNION ALL SELECT 'rows_changed.lineitem', (SELECT count(*) FROM lineitem WHERE l_orderkey % 211 = 0) + (SELECT count(*) FROM lineitem WHERE l_orderkey % 89 = 0)"
+
+
+def _flat_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Engine(spark, catalog(spark, sf_dir))
+    v = e.view(table("customer").sub("orders", lambda p: table("orders").where("o_custkey", p.c_custkey).order_by("o_totalprice", "desc").limit(2).sub("items", _items(gt("l_quantity", 30)))))
+    before = v.snapshot
+    e.apply(batch(e.catalog))
+    nodes = ch.replayed(levels(before, v.key), flat_changes(before, v.snapshot, v.key), ["path", "key"])
+    return nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum(F.get_json_object("row", "$.o_orderkey").cast("long")).alias("orders"), F.sum(F.get_json_object("row", "$.l_partkey").cast("long")).alias("parts"))
+
+
+QUERIES["v_flat_replay"] = _flat_replay
+_LATER = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM {NEW_ORDERS}) WHERE r <= 2)"
+ORACLE_SQL["v_flat_replay"] = f"SELECT '' AS path, count(*) AS n, CAST(NULL AS BIGINT) AS orders, CAST(NULL AS BIGINT) AS parts FROM customer UNION ALL SELECT 'orders', count(*), CAST(sum(o_orderkey) AS BIGINT), NULL FROM {_LATER} JOIN customer ON c_custkey = o_custkey UNION ALL SELECT 'orders.items', count(*), NULL, CAST(sum(l_partkey) AS BIGINT) FROM {_LATER} JOIN customer ON c_custkey = o_custkey JOIN {NEW_ITEMS} ON l_orderkey = o_orderkey AND l_quantity > 30"
+
+
 def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = Engine(spark, catalog(spark, sf_dir))
     v = e.view(table("nation").count().group_by("n_regionkey"))
@@ -383,6 +409,33 @@ QUERIES["t_stream_group"] = _stream(lambda: table("orders").count().group_by("o_
 ORACLE_SQL["t_stream_group"] = f"SELECT o_custkey, count(*) AS count FROM {NEW_ORDERS} GROUP BY o_custkey"
 
 
+def _counted_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from millrace.sources.storage import shared_folder
+
+    folder = f"{shared_folder(spark)}/counts-{uuid.uuid4().hex}"
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type")
+    events.repartition(3).write.parquet(f"{folder}/in")
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    out = grouped_counts(source, ["event_type"]).writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/out"))
+    out.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+QUERIES["t_grouped_stream"], ORACLE_SQL["t_grouped_stream"] = _counted_stream, "SELECT event_type, count(*) AS count FROM events GROUP BY event_type"
+
+
+def _text_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text is not null and role is not null")
+    cut = F.sequence(F.lit(0).cast("long"), F.floor(F.greatest(F.char_length("text") - 1, F.lit(0)) / 40))
+    pieces = turns.select("conv_id", "turn", "role", "text", F.posexplode(cut).alias("seq", "i")).select("conv_id", "turn", "role", "seq", F.substring("text", (F.col("i") * 40 + 1).cast("int"), F.lit(40)).alias("text"))
+    return assembled_text(pieces.unionByName(pieces.where("seq % 2 = 0")), ["conv_id", "turn", "role"])
+
+
+QUERIES["t_text_stream"], ORACLE_SQL["t_text_stream"] = _text_stream, "SELECT conv_id, turn, role, text FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL"
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with items returned, their three dearest orders from a start on, each with its number of items."""
     orders = lambda p: table("orders").where("o_custkey", p.c_custkey).order_by("o_totalprice", "desc").limit(3).count_as("items", _items()).select("o_orderkey", "o_totalprice")

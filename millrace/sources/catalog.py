@@ -81,13 +81,30 @@ def from_parquet(spark: SparkSession, folder: str, keys: dict[str, tuple[str, ..
     return made
 
 
+#: Whole numbers by width, and how many digits each can have.
+_DIGITS = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 19}
+
+
+def widens(a: T.DataType, b: T.DataType) -> bool:
+    """Whether every value of type ``a`` is one of type ``b``."""
+    if type(a) is T.DecimalType and type(b) is T.DecimalType:
+        return b.scale >= a.scale and b.precision - b.scale >= a.precision - a.scale
+    if type(a) is type(b) or isinstance(a, T.NullType):
+        return True
+    if type(a) in _DIGITS and isinstance(b, T.DecimalType):
+        return b.precision - b.scale >= _DIGITS[type(a)]
+    if type(a) in _DIGITS and type(b) in _DIGITS:
+        return _DIGITS[type(a)] < _DIGITS[type(b)]
+    return isinstance(b, T.DoubleType) and isinstance(a, (T.FloatType, T.ByteType, T.ShortType, T.IntegerType)) or isinstance(b, T.FloatType) and isinstance(a, (T.ByteType, T.ShortType))
+
+
 def checked(df: DataFrame, schema: T.StructType, name: str) -> DataFrame:
-    """``df`` in the columns and types of ``schema``; other columns or types are refused."""
+    """``df`` in the columns and types of ``schema``; other columns are refused, and types that could lose a value."""
     have = {f.name: f.dataType for f in df.schema.fields}
     want = {f.name: f.dataType for f in schema.fields}
     if set(have) != set(want):
         raise SchemaViolation(f"{name}: columns {sorted(have)} are not {sorted(want)}")
     for c, t in want.items():
-        if type(have[c]) is not type(t) and not isinstance(have[c], (T.NullType, T.NumericType)):
+        if not widens(have[c], t):
             raise SchemaViolation(f"{name}.{c}: {have[c].simpleString()} is not {t.simpleString()}")
     return df.select(*(F.col(f"`{c}`").cast(t).alias(c) for c, t in want.items()))
