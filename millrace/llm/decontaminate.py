@@ -3,8 +3,8 @@
 Every window of ``window`` words is represented by the smallest hash of its
 k-grams.  Equal windows have equal k-grams, so they have the same smallest hash:
 joining the fingerprints of documents and benchmark loses no shared window.  A
-joined fingerprint is extended to the windows that it stands for, and those are
-compared word for word, so a chance hash makes no hit.  Items shorter than a
+fingerprint travels with the stretch of windows that it stands for; where it is
+joined, those are compared word for word, so a chance hash makes no hit.  Items shorter than a
 window are looked up by the hash of their whole word sequence.
 """
 
@@ -12,16 +12,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import checkpoint
 
 WINDOW = 10
 K = 4
-#: Rows of a joined side up to which it is broadcast; it is counted first, and
-#: a larger one is joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Bytes of a joined side up to which it is broadcast; they are summed first, and
+#: a larger one is joined by a shuffle, in which Spark splits the parts of hot keys.
+BROADCAST_BYTES = 32 << 20
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: ASCII characters that are not part of a word, once A-Z is lower-cased.
 _BREAKS = "".join(chr(c) for c in range(128) if not (chr(c).isdigit() or chr(c).isalpha()))
@@ -52,13 +52,18 @@ def window_keys(w: Column, length: int, window: int = WINDOW, k: int = K) -> Col
     return F.when(F.size(w) >= window, mins).otherwise(F.array().cast("array<bigint>"))
 
 
-def _starts(n: int, window: int, k: int) -> Column:
-    """Where the runs of ``n`` words of ``w`` start whose fingerprint is among ``keys``."""
-    return _let(window_keys(F.col("w"), n, window, k), lambda h: F.filter(F.sequence(F.lit(1), F.greatest(F.size(h), F.lit(1))), lambda j: F.coalesce(F.array_contains(F.col("keys"), F.try_element_at(h, j)), F.lit(False))))
+def _runs(w: Column, length: int, window: int, k: int) -> Column:
+    """``(length, key, first, last)`` of the stretches of neighbouring runs of words that have one fingerprint."""
 
+    def of(h: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(h), F.lit(1))), lambda j: (F.size(h) > 0) & ((j == 1) | (F.get(h, j - 1) != F.get(h, j - 2))))
+        return _let(starts, lambda s: F.transform(s, lambda x, i: F.struct(F.lit(length).alias("length"), F.get(h, x - 1).alias("key"), x.alias("first"), F.coalesce(F.get(s, i + 1) - 1, F.size(h)).alias("last"))))
 
-def _side(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    return _let(window_keys(w, length, window, k), of)
+
+
+def _side(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
@@ -81,36 +86,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     for n in lengths:
         keys = F.when(F.col("length") == n, window_keys(F.col("w"), n, window, k)).otherwise(keys)
     wins = checkpoint(items.select("item_id", "length", F.explode(F.arrays_zip(starts.alias("i"), keys.alias("key"))).alias("x"), "w").select("item_id", "length", F.col("x.key").alias("key"), F.array_join(F.slice("w", F.col("x.i"), F.col("length")), " ").alias("win")).distinct())
-    n_wins = wins.count()
+    n_wins, n_bytes = wins.agg(F.count("*"), F.sum(F.octet_length("win") + F.coalesce(F.octet_length("item_id"), F.lit(0)))).first()
+    key_bytes, win_bytes = 64 * n_wins, 96 * n_wins + (n_bytes or 0)
 
     base = docs.select("*", F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    split = docs.select("__row", words(F.col("text")).alias("w"))
-    all_keys = _let(F.col("w"), lambda w: F.array_distinct(F.concat(*(window_keys(w, n, window, k) for n in lengths)))) if lengths else F.array().cast("array<bigint>")
-    prints = split.select("__row", F.explode(all_keys).alias("key"))
-    matched = checkpoint(prints.join(_side(wins.select("key").distinct(), n_wins), "key").groupBy("__row").agg(F.collect_set("key").alias("keys")))
-    n_matched = matched.count()
-
-    near = split.join(_side(matched, n_matched), "__row")
-    found = []
-    for n in lengths:
-        at = _starts(n, window, k)
-        one = near.select("__row", "w", F.explode(at).alias("at"))
-        found.append(one.select("__row", (F.col("at") - 1).alias("start"), (F.col("at") - 1 + n).alias("end"), F.array_join(F.slice("w", F.col("at"), n), " ").alias("win"), F.lit(n).alias("length")))
-    spans = F.aggregate(
-        F.array_sort(F.collect_set(F.struct("start", "end"))),
-        F.array().cast("array<struct<start:int,end:int>>"),
-        lambda got, x: F.when(
-            (F.size(got) > 0) & (F.try_element_at(got, F.lit(-1))["end"] >= x["start"]),
-            F.concat(F.slice(got, 1, F.greatest(F.size(got) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(got, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(got, F.lit(-1))["end"], x["end"]).alias("end")))),
-        ).otherwise(F.concat(got, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"))))),
-    )
     none = F.array().cast("array<string>")
-    if found:
-        rows = found[0]
-        for more in found[1:]:
-            rows = rows.unionByName(more)
-        hits = rows.join(_side(wins.select("item_id", "length", "win").distinct(), n_wins), ["length", "win"]).groupBy("__row").agg(spans.alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
-        base = base.join(hits, "__row", "left")
+    if lengths:
+        split = docs.select("__row", words(F.col("text")).alias("w"))
+        runs = split.select("__row", F.explode(_let(F.col("w"), lambda w: F.concat(*(_runs(w, n, window, k) for n in lengths)))).alias("r")).select("__row", "r.*")
+        met = runs.join(_side(wins.select("length", "key").distinct(), key_bytes), ["length", "key"])
+        # equal rows have one __row; what they share is made distinct below
+        matched = checkpoint(met.groupBy("__row").agg(F.collect_set(F.struct("length", "first", "last")).alias("at")))
+        size = 128 * matched.count() + 16 * (matched.agg(F.sum(F.size("at"))).first()[0] or 0)
+        near = split.join(_side(matched, size), "__row")
+        at = near.select("__row", "w", F.explode("at").alias("r")).select("__row", "w", "r.length", F.explode(F.sequence("r.first", "r.last")).alias("at"))
+        found = at.select("__row", (F.col("at") - 1).alias("start"), (F.col("at") - 1 + F.col("length")).alias("end"), F.array_join(F.slice("w", F.col("at"), F.col("length")), " ").alias("win"), "length")
+        hits = checkpoint(found.join(_side(wins.select("item_id", "length", "win").distinct(), win_bytes), ["length", "win"]).select("__row", "start", "end", "item_id").distinct())
+        items_of = hits.groupBy("__row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+        reach = F.max("end").over(Window.partitionBy("__row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
+        by_start = hits.groupBy("__row", "start").agg(F.max("end").alias("end")).withColumn("new", F.coalesce(reach < F.col("start"), F.lit(True)).cast("int"))
+        island = F.sum("new").over(Window.partitionBy("__row").orderBy("start").rowsBetween(Window.unboundedPreceding, 0))
+        whole = by_start.withColumn("island", island).groupBy("__row", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+        spans_of = whole.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+        base = base.join(spans_of.join(items_of, "__row"), "__row", "left")
     else:
         base = base.select("*", F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans"), none.alias("items"))
     n_hit = F.aggregate("spans", F.lit(0), lambda a, s: a + s["end"] - s["start"])
