@@ -26,6 +26,10 @@ from millrace.llm.common import RollingHash, chunks_by_bytes, mix64, ship, trim
 #: Bounds of the labelled sample that the model is fitted on.
 SAMPLE_ROWS = 6000
 SAMPLE_BYTES = 16 << 20
+#: The largest text of the sample is one so many-th of its bytes.
+SHARE = 64
+#: Words with a feature, for each text of the sample on average, around which the chain learns, and its windows in all.
+CENTRES, WINDOWS = 8, 8000
 #: Features kept at most, and the documents and the lift that one needs.
 FEATURES, LEAST_DOCS, LIFT = 4000, 5, 4.0
 #: Byte lengths of word beginnings that are features.
@@ -226,8 +230,14 @@ def _document_counts(texts: list[bytes], among: np.ndarray | None = None) -> tup
     return keys, counts
 
 
-def fit(texts: list[bytes], toxic: np.ndarray) -> Model:
-    """The model of labelled texts; without both kinds of label, the constant base rate."""
+def fit(texts: list[bytes], toxic: np.ndarray, centres: int = CENTRES, windows: int = WINDOWS) -> Model:
+    """The model of labelled texts; without both kinds of label, the constant base rate.
+
+    The chain learns from windows of words around at most ``centres`` words with
+    a feature for each text on average, and some without, and from ``windows``
+    of them at most; a window that reaches beyond its text is filled up with
+    words without features.
+    """
     rate = (toxic.sum() + 0.5) / (len(toxic) + 1)
     empty = Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, np.zeros((2, 2)), np.array([math.log(rate / (1 - rate)) if len(toxic) else -5.0, 0, 0, 0]))
     if not len(toxic) or toxic.min() == toxic.max():
@@ -254,15 +264,15 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> Model:
         label = (np.where(ids_all < len(keys), strong[np.minimum(ids_all, len(keys) - 1)], False).any(axis=1) & (toxic[a + w.doc] == 1)).astype(np.int64)
         some = np.flatnonzero((ids_all < len(keys)).any(axis=1))
         plain = rng.integers(0, len(w.doc), min(len(w.doc), (z - a) // 4 + 1)) if len(w.doc) else some[:0]
-        centres = np.unique(np.r_[rng.choice(some, min(len(some), 8 * (z - a)), replace=False), plain])
-        centres = centres[(centres >= REACH) & (centres + REACH < len(w.doc))]
-        span = centres[:, None] + np.arange(-REACH, REACH + 1)
-        whole = w.doc[span[:, 0]] == w.doc[span[:, -1]] if len(span) else np.zeros(0, bool)
-        ids.append(ids_all[span[whole]])
-        labels.append(label[span[whole]])
+        middle = np.unique(np.r_[rng.choice(some, min(len(some), centres * (z - a)), replace=False), plain])
+        span = middle[:, None] + np.arange(-REACH, REACH + 1)
+        there = np.clip(span, 0, max(len(w.doc) - 1, 0))
+        own = (span == there) & (w.doc[there] == w.doc[middle][:, None]) if len(middle) else np.zeros(span.shape, bool)
+        ids.append(np.where(own[:, :, None], ids_all[there], len(keys)) if len(middle) else ids_all[there])
+        labels.append(np.where(own, label[there], 0) if len(middle) else label[there])
     ids, labels = np.concatenate(ids), np.concatenate(labels)
-    if len(ids) > 8000:
-        pick = rng.choice(len(ids), 8000, replace=False)
+    if len(ids) > windows:
+        pick = rng.choice(len(ids), windows, replace=False)
         ids, labels = ids[pick], labels[pick]
     if not len(ids):
         return empty
@@ -277,11 +287,15 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> Model:
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES, share: int = SHARE, centres: int = CENTRES, windows: int = WINDOWS) -> Model:
     """Fit on a bounded sample of the labelled rows that may be learnt from.
 
     The sample are the rows with the least hashes of their doc_ids: at most
-    ``rows``, and no more than fit in ``most_bytes`` of text.
+    ``rows``, and no more than fit in ``most_bytes`` of text; a text over one
+    ``share``-th of that is left out, so that no few texts fill the sample, and
+    where one doesn't fit any more, shorter ones after it may.  ``centres`` and
+    ``windows`` bound what the chain is fitted on (see :func:`fit`).  Of
+    repeated doc_ids the greatest text counts, of repeated labels the greatest.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     known = known.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -299,12 +313,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_byte
         sizes[k] = n
     keep, total = set(), 0
     for k in sorted(sizes, key=rank.__getitem__):
-        if total + sizes[k] > most_bytes:
+        if total + sizes[k] > most_bytes or sizes[k] * share > most_bytes:
             continue
         keep.add(k)
         total += sizes[k]
     found = sorted(of(keep).groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).collect(), key=lambda r: r[0]) if keep else []
-    return fit([r[2].encode() for r in found], np.array([r[1] for r in found], np.int64))
+    return fit([r[2].encode() for r in found], np.array([r[1] for r in found], np.int64), centres, windows)
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("p", T.DoubleType())]))
@@ -331,7 +345,8 @@ def score(df: DataFrame, model: Model, spans: bool = True) -> DataFrame:
                 rows = []
                 for text, (p, bounds, _) in zip(texts, found, strict=True):
                     bad = [(x, y, q) for (x, y), q in zip(bounds, p, strict=True) if q >= 0.5]
-                    rows.append([{"start": len(text[:x].decode()), "end": len(text[:y].decode()), "p": q} for x, y, q in bad])
+                    points = np.r_[0, np.cumsum(np.frombuffer(text, np.uint8) & 0xC0 != 0x80)] if bad else []
+                    rows.append([{"start": int(points[x]), "end": int(points[y]), "p": q} for x, y, q in bad])
                 more.append(pa.array(rows, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))))
             trim()
             yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "score", "spans"][: len(b.columns) + len(more)])
