@@ -19,15 +19,15 @@ from pyspark.sql import DataFrame
 
 from millrace.llm.common import bucket_count, from_blocks, pack_strings, packed_documents, squeeze, unpack_strings, unsqueeze
 from millrace.llm.token_counts import tokenizer
-from millrace.llm.word_bpe import encode_units, special_tokens, units
+from millrace.llm.word_bpe import Rules, encode_units
 
 
 def _send_words(path: str, owners: int):
     def run(key, t):
-        special = special_tokens(path)
+        units = Rules.of(path).units
         found: set[str] = set()
         for text in from_blocks(t.column("payload").to_pylist()).column("text").to_pylist():
-            found.update(units(text, special))
+            found.update(units(text))
         by: dict[int, list[bytes]] = {}
         for w in found:
             b = w.encode()
@@ -60,7 +60,7 @@ def _joined(values: pa.Array, offsets: np.ndarray) -> list[str]:
 
 def _join_ids(path: str, digest: bool, lists: bool):
     def run(key, docs, replies):
-        tok, special = tokenizer(path), special_tokens(path)
+        tok, units = tokenizer(path), Rules.of(path).units
         pieces = pa.array([tok.id_to_token(i) or "" for i in range(tok.get_vocab_size())], pa.large_string())
         decimal = pa.array([str(i) for i in range(len(pieces))], pa.large_string())
         as_ids: dict[str, str] = {}
@@ -78,7 +78,7 @@ def _join_ids(path: str, digest: bool, lists: bool):
         n, ids, decoded, numbers = [], [], [], []
         for text in t.column("text").to_pylist():
             # a unit may have no ids at all (a stretch of spaces and marks that vanish)
-            found = [u for u in units(text, special) if counts[u]]
+            found = [u for u in units(text) if counts[u]]
             n.append(sum(map(counts.__getitem__, found)))
             i, d = " ".join(map(as_ids.__getitem__, found)), " ".join(map(as_text.__getitem__, found))
             if lists:

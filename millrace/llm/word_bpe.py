@@ -1,9 +1,10 @@
 """Units of text for a lower-casing BPE vocabulary with word ends.
 
 A text is cut into *units* whose encodings, one after another, are the text's:
-the words of the vocabulary's own pre-tokenizer for Latin text, and whole
-stretches (marked by a leading NUL) where normalisation or special tokens need
-the library's full care.
+the words of the vocabulary's own pre-tokenizer over normalised text, in every
+script (for Latin text by a pattern, else by the library), and, marked by a
+leading NUL, special strings and the stretches whose words would change if they
+were normalised or cut once more.
 """
 
 from __future__ import annotations
@@ -27,22 +28,55 @@ _WORD = re.compile(f"[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{_DIGIT}]|[^ \t\n\r{_LE
 _CUT = re.compile("(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
 
 
-def units(text: str, special: tuple[str, ...]) -> list[str]:
-    """The units of a text, in order."""
-    if _PLAIN.fullmatch(text) and not any(s in text for s in special):
-        return _WORD.findall(text.lower())
-    out: list[str] = []
-    for part in _CUT.split(text):
-        if _PLAIN.fullmatch(part) and not any(s in part for s in special):
-            out += _WORD.findall(part.lower())
-        else:
-            out.append("\0" + part)
-    return out
+class Rules:
+    """How a vocabulary cuts texts: its own special strings, normaliser and pre-tokenizer."""
+
+    _kept: dict[str, Rules] = {}
+
+    def __init__(self, path: str):
+        t = tokenizer(path)
+        self.normal = t.normalizer.normalize_str if t.normalizer else str
+        self.words = t.pre_tokenizer.pre_tokenize_str
+        #: Strings that are taken out of a text before all else, the longest first.
+        self.special = tuple(sorted((x.content for x in t.get_added_tokens_decoder().values()), key=len, reverse=True))
+        self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        #: Only strings that stand for themselves wherever they occur can be cut out here.
+        self.simple = not any(x.normalized or x.single_word or x.lstrip or x.rstrip for x in t.get_added_tokens_decoder().values())
 
+    @classmethod
+    def of(cls, path: str) -> Rules:
+        """The worker's rules for a vocabulary."""
+        if path not in cls._kept:
+            cls._kept[path] = cls(path)
+        return cls._kept[path]
 
-def special_tokens(path: str) -> tuple[str, ...]:
-    """The strings that the vocabulary takes out of a text before all else."""
-    return tuple(t.content for t in tokenizer(path).get_added_tokens_decoder().values())
+    def units(self, text: str) -> list[str]:
+        """The units of a text, in order."""
+        if _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+            return _WORD.findall(text.lower())
+        out: list[str] = []
+        for part in _CUT.split(text):
+            if any(s in part for s in self.special):
+                if not self.simple:
+                    out.append("\0" + part)
+                    continue
+                for piece in self.cut.split(part):
+                    out += ["\0" + piece] if piece in self.special else self._any(piece)
+            else:
+                out += self._any(part)
+        return out
+
+    def _any(self, text: str) -> list[str]:
+        """Units by the library's own steps, whatever the script; a whole stretch where its words aren't stable under them."""
+        if _PLAIN.fullmatch(text):
+            return _WORD.findall(text.lower())
+        plain = self.normal(text)
+        found = [plain[a:z] for _, (a, z) in self.words(plain)]
+        distinct = list(dict.fromkeys(found))
+        joined = " ".join(distinct)
+        if "\0" in joined or self.normal(joined) != joined or [joined[a:z] for _, (a, z) in self.words(joined)] != distinct:
+            return ["\0" + text]
+        return found
 
 
 _ends: dict[str, np.ndarray] = {}
@@ -95,7 +129,7 @@ class CachedEncoder:
     _kept: dict[str, "CachedEncoder"] = {}
 
     def __init__(self, path: str):
-        self.path, self.special, self.cache = path, special_tokens(path), {}
+        self.path, self.units, self.cache = path, Rules.of(path).units, {}
         self.kind = "<u2" if tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4"
 
     @classmethod
@@ -108,7 +142,7 @@ class CachedEncoder:
     def many(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, two bytes each where the vocabulary fits in that."""
         cache, kind = self.cache, self.kind
-        found = [units(t, self.special) for t in texts]
+        found = [self.units(t) for t in texts]
         parts = [list(map(cache.get, f)) for f in found]
         holes = [list(compress(range(len(p)), map(_NONE, p))) for p in parts]
         missing = list({f[i] for f, own in zip(found, holes, strict=True) for i in own})

@@ -17,8 +17,9 @@ from millrace.llm.edit_fingerprint import add_fingerprint, embed, likeness, near
 from millrace.llm.html_text import common_lines, extract_text, main_text, page_lines, url_key
 from millrace.llm.ngram_join import components, near_duplicates, op9_query, overlaps, prefix_length, shingles
 from millrace.llm.suffix_dedup import difference_cover, remove_repeats
-from millrace.llm.token_counts import count_tokens, op5_query, pieces
+from millrace.llm.token_counts import count_tokens, op5_query, pieces, tokenizer
 from millrace.llm.token_files import op8_query, pack_bits, unpack_bits
+from millrace.llm.word_bpe import Rules, encode_units
 
 tokenizers = pytest.importorskip("tokenizers")
 P = pytest.importorskip("public_tokenizers")
@@ -358,6 +359,28 @@ def test_windows_leave_no_trace():
     assert pii.model_spans(p, ["no trigger here", text])[1] == a
 
 
+SCRIPTS = [
+    "Съешь же ещё этих мягких французских булок, да выпей чаю 2024 года. " * 3,
+    "我能吞下玻璃而不伤身体。他说：「可以」 " * 3,
+    "ΌΣΟΣ σοφός İstanbul ẞtraße ﬁne ½ Å Å e\u0301 \u212a हिन्दी में लिखा हुआ पाठ ไทย עברית العربية ١٢٣",
+    "x<|endoftext|>Привет<|startoftext|> мир\u00a0и\u2003тут\x00\x01 🙂🙂 👩\u200d👩\u200d👧",
+    "\u0301alone \u0301\u0327 a\u0327\u0301 ǅ ŉ İİ 'S it'S Ю's <|END|>",
+]
+
+
+def test_units_of_all_scripts():
+    path = P.path("word_bpe_49k.json")
+    t, cut = tokenizer(path), Rules.of(path)
+    for x in [*SCRIPTS, *(a + b for a in SCRIPTS for b in SCRIPTS)]:
+        found = cut.units(x)
+        ids, counts = encode_units(path, found)
+        assert ids.tolist() == t.encode(x, add_special_tokens=False).ids, x
+    words = [f"слово{chr(1072 + i % 32)}{chr(1072 + i // 32 % 32)}" for i in range(1000)]
+    found = cut.units(" ".join(words))
+    assert len(found) == 1000 and not any(u[0] == "\0" for u in found)
+    assert len(cut.units(SCRIPTS[1])) > 9
+
+
 # --- 6 ------------------------------------------------------------------------------------
 
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><a>Home</a></nav><!-- x --><div class="ad">Buy</div>
