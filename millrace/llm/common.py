@@ -76,11 +76,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the session's checkpoint folder; set one only where there is none."""
+    """Keep the session's checkpoint folder; set one of this machine only in local mode, where that is shared."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         folder = tempfile.mkdtemp(prefix="millrace-checkpoint-")
@@ -337,8 +339,17 @@ def ordered_blocks(rows: DataFrame, n: int, neighbours: tuple[str, ...] = ()) ->
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder name below the shared checkpoint folder."""
+    """A fresh folder name below the shared checkpoint folder; what is there goes when the driver ends, or with :func:`remove`."""
     import uuid
 
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that no frame reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -85,14 +85,12 @@ def prefix_length(size: int, percent: int = PERCENT) -> int:
 
 
 def _set_bytes(tokens: np.ndarray) -> bytes:
-    """Tokens as 48-bit values, sorted."""
-    return np.ascontiguousarray(np.sort(tokens >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    """Tokens, sorted."""
+    return np.sort(tokens).astype("<u8").tobytes()
 
 
 def _set_of(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).reshape(-1)
+    return np.frombuffer(raw, "<u8")
 
 
 ROWS = "doc_id long, set_key binary, n_shingles long, lonely double, tokens array<long>, orders array<array<int>>, content binary"
@@ -269,7 +267,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     texts without words, have no tokens and stay alone.  Repeated rows are
     copies; rows without a doc_id take part, and name a component only where all
     its doc_ids are null (then null).  An empty table gives no rows; other
-    columns are not read.  Tokens are 64-bit hashes, compared on 48 bits.
+    columns are not read.  Tokens are 64-bit hashes.
     """
     blocks, n = stored_blocks(docs)
     bits = min(64, 32 + max(1, n - 1).bit_length())
