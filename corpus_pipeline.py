@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import encode_documents
-from millrace.llm.common import checkpoint, load, shared_folder
+from millrace.llm.common import checkpoint, load, remove, shared_folder
 from millrace.llm.decontaminate import contamination
 from millrace.llm.ngram_join import near_duplicates
 from millrace.llm.pii import find_personal_data
@@ -88,11 +88,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of ``sf_dir`` through all stages."""
-    docs = load(spark, sf_dir, "documents")
+    docs, before = load(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             folder = shared_folder(spark, name)
             docs.write.parquet(folder)
             docs = spark.read.parquet(folder)
+            if before is not None:
+                remove(spark, before)  # the stage that read it is written
+            before = folder
     return docs
