@@ -15,7 +15,7 @@ from millrace.plans.builder import (
 )
 from millrace.plans.lower import Lowering
 from millrace.sources.catalog import Catalog, from_parquet
-from millrace.streaming.driver import Optimistic, assembled_text, follow, grouped_counts
+from millrace.streaming.driver import Optimistic, assembled_text, chunked_text, follow, grouped_counts, spliced_text
 from millrace.streaming.views import Engine
 
 #: Keys of the test tables; lineitem has none but its whole row.
@@ -257,6 +257,17 @@ def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["n_levels"], ORACLE_SQL["n_levels"] = _levels, "SELECT '' AS path, count(*) AS n FROM nation UNION ALL SELECT 'suppliers', count(*) FROM supplier"
 
 
+def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Engine(spark, catalog(spark, sf_dir))
+    e.view(table("orders").where(gt("o_totalprice", 450000)).select("o_totalprice"))
+    e.view(table("customer").where(gt("c_acctbal", 9900)).sub("orders", _own()).select("c_name"))
+    return e.held().select("table", F.coalesce(F.get_json_object("key", "$.o_orderkey"), F.get_json_object("key", "$.c_custkey")).cast("long").alias("id"), "n", F.array_join("present", ",").alias("present"))
+
+
+QUERIES["n_held"] = _held
+ORACLE_SQL["n_held"] = "SELECT 'customer' AS \"table\", c_custkey AS id, 1 AS n, 'c_custkey,c_name' AS present FROM customer WHERE c_acctbal > 9900 UNION ALL SELECT 'orders', o_orderkey, CASE WHEN a THEN 1 ELSE 0 END + CASE WHEN b THEN 1 ELSE 0 END, CASE WHEN b THEN (SELECT string_agg(column_name, ',' ORDER BY column_name) FROM (DESCRIBE orders)) ELSE 'o_orderkey,o_totalprice' END FROM (SELECT o_orderkey, o_totalprice > 450000 AS a, EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 9900) AS b FROM orders) WHERE a OR b"
+
+
 def _footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = table("orders").where(gt("o_totalprice", 450000)).where_exists(_items(gt("l_quantity", 40))).sub("items", _items(eq("l_returnflag", "R"))).select("o_orderkey")
     return Engine(spark, catalog(spark, sf_dir)).footprint(q).where("table = 'orders'").select(F.get_json_object("key", "$.o_orderkey").cast("long").alias("o_orderkey"), "n")
@@ -426,6 +437,33 @@ def _counted_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["t_grouped_stream"], ORACLE_SQL["t_grouped_stream"] = _counted_stream, "SELECT event_type, count(*) AS count FROM events GROUP BY event_type"
 
 
+_TURN = ["conv_id", "turn", "role"]
+
+
+def _deltas(spark: SparkSession, sf_dir: str, each: int) -> DataFrame:
+    """The texts of conversations in live pieces, each a tenth of a second after the one before."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("length(text) > 0 and role is not null")
+    cut = F.sequence(F.lit(0).cast("long"), F.floor((F.char_length("text") - 1) / each))
+    return turns.select(*_TURN, "text", F.explode(cut).alias("seq")).select(*_TURN, "seq", (F.col("seq") * 100).alias("at_ms"), F.substring("text", (F.col("seq") * each + 1).cast("int"), F.lit(each)).alias("text"))
+
+
+def _text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunked_text(_deltas(spark, sf_dir, 7), _TURN, chars=20, interval_ms=10**9)
+
+
+def _text_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deltas = _deltas(spark, sf_dir, 7)
+    early = assembled_text(chunked_text(deltas.where("seq < 5"), _TURN, chars=20), _TURN)
+    return spliced_text(early, assembled_text(deltas, _TURN), _TURN)
+
+
+# pieces of 7 characters reach 20 with the third one
+QUERIES["t_text_chunks"] = _text_chunks
+ORACLE_SQL["t_text_chunks"] = "SELECT conv_id, turn, role, seq, substr(text, CAST(seq + 1 AS BIGINT), 21) AS text FROM (SELECT conv_id, turn, role, text, unnest(range(0, length(text), 21)) AS seq FROM conversations WHERE length(text) > 0 AND role IS NOT NULL)"
+QUERIES["t_text_splice"] = _text_splice
+ORACLE_SQL["t_text_splice"] = "SELECT conv_id, turn, role, text FROM conversations WHERE length(text) > 0 AND role IS NOT NULL"
+
+
 def _text_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text is not null and role is not null")
     cut = F.sequence(F.lit(0).cast("long"), F.floor(F.greatest(F.char_length("text") - 1, F.lit(0)) / 40))

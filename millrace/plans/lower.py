@@ -42,6 +42,7 @@ class Lowering:
     strict: bool = True
     by_byte: bool = False
     footprint: list[tuple[TableDef, DataFrame, str | None]] | None = field(default=None, repr=False)
+    held: bool = False  # a footprint of the rows that the result rests on alone, not of all that are read
 
     # --- checks -----------------------------------------------------------------
 
@@ -177,7 +178,7 @@ class Lowering:
         q = g.related.query
         t = self.catalog[q.table]
         rows = self.rows(q if g.flip else q.with_(start=None))
-        if self.footprint is not None:
+        if self.footprint is not None and not self.held:
             self.footprint.append((t, rows, g.related.system))
         keys = [_unique("k") for _ in g.related.child]
         if q.aggregate is not None:
@@ -224,6 +225,21 @@ class Lowering:
             return Group("and", tuple(p for p in parts if p is not True))
         return c
 
+    def _rests_on(self, q: Query, rows: DataFrame, system: str | None = None) -> None:
+        """Note a query's rows and, where asked for what is held, the rows that its gates found for them."""
+        if self.footprint is None:
+            return
+        self.footprint.append((self.catalog[q.table], rows, system))
+        for g in gates(q.where) if self.held else ():
+            if g.negated:
+                continue
+            inner = g.related.query
+            at = [_unique("w") for _ in g.related.parent]
+            keys = rows.select(*(F.col(f"`{p}`").alias(w) for p, w in zip(g.related.parent, at, strict=True))).distinct()
+            found = self.rows(inner if g.flip else inner.with_(start=None))
+            found = found.join(keys, [found[f"`{c}`"] == keys[w] for c, w in zip(g.related.child, at, strict=True)], "left_semi")
+            self._rests_on(inner, found, system or g.related.system)
+
     # --- shapes -----------------------------------------------------------------
 
     def nested(self, q: Query, df: DataFrame, most: int | None = None, narrow: bool = False) -> DataFrame:
@@ -233,8 +249,7 @@ class Lowering:
         ``narrow``, only the children of the rows at hand are read.
         """
         t = self.catalog[q.table]
-        if self.footprint is not None:
-            self.footprint.append((t, df, None))
+        self._rests_on(q, df)
         whole, given = df, _given(q)
         for r in _children(q):
             df = self._attach(df, r, f"@{r.query.alias}", whole if narrow or most is not None else None, most, given)
@@ -257,8 +272,7 @@ class Lowering:
             value = [c for c in t.columns if c not in r.child]
             child = rows.select(*named, F.col(f"`{value[-1]}`").alias(name))
         elif q.aggregate is not None:
-            if self.footprint is not None:
-                self.footprint.append((t, rows, None))
+            self._rests_on(q, rows)
             child = aggregated(rows, q.aggregate, t, list(dict.fromkeys(r.child))).select(*named, F.col(q.aggregate.kind).alias(name))
         else:
             if q.limit == 0:
@@ -286,8 +300,7 @@ class Lowering:
         keys = [_unique("x") for _ in r.child]
         kept = [F.col(f"`{c}`").alias(k) for c, k in zip(r.child, keys, strict=True)]
         rows = rows.select(*kept, F.col(rank), *(F.col(f"`{c}`") for c in t.columns))
-        if self.footprint is not None:
-            self.footprint.append((t, rows, None))
+        self._rests_on(q, rows)
         related = _children(q)
         names = [x.query.alias for x in related]
         made, whole = [], rows
@@ -303,11 +316,13 @@ class Lowering:
         self.check(q)
         t = self.catalog[q.table]
         if q.aggregate is not None:
-            df = aggregated(self.rows(q, keep, most), q.aggregate, t, list(q.group_by))
+            rows = self.rows(q, keep, most)
+            self._rests_on(q, rows)
+            df = aggregated(rows, q.aggregate, t, list(q.group_by))
             return df if q.having is None else df.where(self.column(q.having, TableDef(q.table, df, tuple(df.columns)), None))
         df = first_rows(self.rows(q, keep, most), q, t)
         bounds = [n for n in (most, q.limit, 1 if set(t.key) <= set(_given(q)) else None) if n is not None]
-        out = self.nested(q, df, min(bounds, default=None), narrow=keep is not None)
+        out = self.nested(q, df, min(bounds, default=None), narrow=keep is not None or self.held)
         if ordered:
             out = out.orderBy(*sort_columns(completed(q.order_by, t)))
         return shown(out, q, t) if project else out

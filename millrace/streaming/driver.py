@@ -44,6 +44,47 @@ def assembled_text(chunks: DataFrame, by: list[str], seq: str = "seq", text: str
     return once.groupBy(*by).agg(F.array_join(F.transform(parts, lambda x: x["text"]), "").alias(text))
 
 
+def chunked_text(deltas: DataFrame, by: list[str], chars: int = 512, interval_ms: int = 750) -> DataFrame:
+    """``(by, seq, text)`` chunks to be stored of each stream's live ``deltas (by, seq, at_ms, text)``.
+
+    A chunk closes with the delta that brings it to ``chars`` characters or that
+    comes ``interval_ms`` after the last chunk, and at the end; ``seq`` is the
+    number of characters before it.  Null and empty deltas add nothing.
+    """
+    kind = "array<struct<seq:bigint,text:string>>"
+    first = F.struct(F.lit(None).cast(kind).alias("done"), F.lit("").alias("held"), F.lit(0).cast("long").alias("seq"), F.col("items")[0]["at_ms"].alias("since"))
+    first = first.withField("done", F.array().cast(kind))
+
+    def closed(acc, held):
+        return F.concat(acc["done"], F.array(F.struct(acc["seq"].alias("seq"), held.alias("text"))))
+
+    def step(acc, x):
+        held = F.concat(acc["held"], x["text"])
+        full = (F.length(held) >= chars) | (x["at_ms"] - acc["since"] >= interval_ms)
+        then = F.struct(closed(acc, held).alias("done"), F.lit("").alias("held"), (acc["seq"] + F.length(held)).alias("seq"), x["at_ms"].alias("since"))
+        return F.when(full, then).otherwise(F.struct(acc["done"].alias("done"), held.alias("held"), acc["seq"].alias("seq"), acc["since"].alias("since")))
+
+    def end(acc):
+        return F.when(F.length(acc["held"]) > 0, closed(acc, acc["held"])).otherwise(acc["done"])
+
+    rows = deltas.where("length(text) > 0").select(*by, F.struct("seq", F.col("at_ms").cast("long").alias("at_ms"), "text").alias("item"))
+    held = rows.groupBy(*by).agg(F.sort_array(F.collect_list("item")).alias("items"))
+    return held.select(*by, F.explode(F.aggregate("items", first, step, end)).alias("chunk")).select(*by, "chunk.seq", "chunk.text")
+
+
+def spliced_text(durable: DataFrame, live: DataFrame, by: list[str], text: str = "text") -> DataFrame:
+    """Each stream's stored text, and what its live text has beyond that.
+
+    Both are beginnings of one text, so the longer one continues the other.  A
+    stream that is in one frame only is as it is there; of several live texts
+    of a stream the longest counts; null is empty.
+    """
+    made = live.groupBy(*by).agg(F.max_by(text, F.length(text)).alias("__live"))
+    both = durable.select(*by, text).join(made, by, "full_outer")
+    held, more = F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col("__live"), F.lit(""))
+    return both.select(*by, F.concat(held, F.substr(more, F.length(held) + 1)).alias(text))
+
+
 class Optimistic:
     """Local writes shown before they are confirmed.
 

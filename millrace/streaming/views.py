@@ -54,6 +54,8 @@ class View:
     status: str = "unknown"
     users: int = 0
     pinned: bool = False
+    idle: float = 0.0  # seconds that it is kept without users
+    left: float | None = None  # when the last user went
     last: Row | None = None  # under a root limit: the last row held, sort columns as text, where all places are taken
 
     @property
@@ -215,6 +217,19 @@ def tables_of(q: Query) -> set[str]:
     return out
 
 
+def columns_of(q: Query, catalog: Catalog) -> dict[str, list[str]]:
+    """The columns of each table that a query shows, with the table's key; a gate shows the key and what it joins on."""
+    out: dict[str, list[str]] = {q.table: list(dict.fromkeys((*catalog[q.table].key, *(q.select or catalog[q.table].columns))))}
+    below = [columns_of(r.query if r.query.aggregate is None else r.query.with_(select=(*r.child, *filter(None, [r.query.aggregate.column]))), catalog) for r in q.related]
+    for g in gates(q.where):
+        if g.related.system != "permissions":
+            below.append(columns_of(g.related.query.with_(select=tuple(g.related.child)), catalog))
+    for found in below:
+        for t, c in found.items():
+            out[t] = list(dict.fromkeys((*out.get(t, ()), *c)))
+    return out
+
+
 def guards_of(q: Query, table: str) -> list:
     """For each place where a query reads ``table``, the ``(column, values)`` its rows must have; None if any may matter."""
     out: list = []
@@ -303,6 +318,7 @@ class Engine:
         self.batches = 0
         self.views: dict[str, View] = {}
         self.last_batch: int | None = None
+        self.unnamed = 0
         self.counters: Counter[str] = Counter()
 
     def register(self, name: str, df: DataFrame, key: list[str] | tuple[str, ...], **options) -> TableDef:
@@ -342,25 +358,43 @@ class Engine:
             counts[t.name] = counts.get(t.name, 0) + rows.count()
         return counts
 
-    def view(self, q: Query | Builder, name: str | None = None, pinned: bool = False) -> View:
+    def view(self, q: Query | Builder, name: str | None = None, pinned: bool = False, idle: float = 0.0) -> View:
         """Register and hydrate a view; the same name gives the same view.
 
-        A pinned view stays when its last user gives it up.
+        A pinned view stays when its last user gives it up; another one is kept
+        for ``idle`` seconds (the longest asked for), see :meth:`expire`.
         """
         q = built(q)
-        name = name or f"view{len(self.views)}"
+        while name is None:
+            name = f"view{self.unnamed}" if f"view{self.unnamed}" not in self.views else None
+            self.unnamed += 1
         if name not in self.views:
             self.views[name] = View(name, q, self).hydrate()
-        self.views[name].users += 1
-        self.views[name].pinned |= pinned
-        return self.views[name]
+        v = self.views[name]
+        v.users, v.left = v.users + 1, None
+        v.pinned, v.idle = v.pinned or pinned, max(v.idle, idle)
+        return v
 
     def drop(self, name: str) -> None:
-        """Give a view up; it goes with its last user."""
+        """Give a view up; it goes with its last user, or later where it may be idle."""
         v = self.views[name]
         v.users -= 1
         if v.users <= 0 and not v.pinned:
-            del self.views[name]
+            if v.idle:
+                v.left = time.monotonic()
+            else:
+                del self.views[name]
+
+    def expire(self, now: float | None = None) -> list[str]:
+        """Let the views go that nobody has used for as long as they may be idle; their names.
+
+        ``now`` is in seconds of the monotonic clock.  Batches do this first.
+        """
+        now = time.monotonic() if now is None else now
+        gone = [n for n, v in self.views.items() if v.left is not None and not v.pinned and now - v.left >= v.idle]
+        for n in gone:
+            del self.views[n]
+        return gone
 
     def apply(self, batch: dict[str, DataFrame], batch_id: int | None = None, deadline: float | None = None) -> dict[str, DataFrame]:
         """Apply a batch (table to changes) to tables and views; each view's changes by name.
@@ -373,6 +407,7 @@ class Engine:
             self.counters["batches_skipped"] += 1
             return {}
         began = time.monotonic()
+        self.expire(began)
         kept = {n: (v.snapshot, v.state, v.last) for n, v in self.views.items()}
         counted, begun = Counter(self.counters), False
         out: dict[str, DataFrame] = {}
@@ -441,7 +476,7 @@ class Engine:
     def footprint(self, q: Query | Builder) -> DataFrame:
         """``(table, key, n)``: the base rows that a query's result rests on, keys as JSON; witnesses of permission gates don't count."""
         q = built(q)
-        lowering = Lowering(self.catalog, self.strict, footprint=[])
+        lowering = Lowering(self.catalog, self.strict, footprint=[], held=True)
         lowering.lower(q, ordered=False)
         out = None
         for t, rows, system in lowering.footprint:
@@ -451,6 +486,19 @@ class Engine:
             out = one if out is None else out.unionByName(one)
         return out.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n"))
 
+    def held(self) -> DataFrame:
+        """``(table, key, n, present)``: the base rows that registered views rest on, the number of those views, and the columns that any of them reads.
+
+        A row that no view holds any more is absent: what a copy of the base
+        rows may let go after a change is ``before`` left anti joined with this.
+        """
+        out = self.spark.createDataFrame([], "table string, key string, present array<string>")
+        for v in self.views.values():
+            columns = columns_of(v.query, self.catalog)
+            shown_ = F.create_map(*(x for t, c in columns.items() for x in (F.lit(t), F.array(*map(F.lit, c)))))
+            out = out.unionByName(self.footprint(v.query).select("table", "key", shown_[F.col("table")].alias("present")))
+        return out.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("present")))).alias("present"))
+
 
 class Transaction:
     """Writes that become visible together; reads inside see them."""

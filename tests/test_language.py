@@ -17,6 +17,7 @@ from millrace.plans.ast import from_json, to_json
 from millrace.plans.builder import all_of, any_of, compare, eq, exists, fragment, gt, ilike, in_list, is_null, like, not_exists, not_in_list, not_like, table
 from millrace.plans.lower import Lowering
 from millrace.sources.catalog import Catalog, checked
+from millrace.streaming.driver import assembled_text, chunked_text, spliced_text
 from millrace.streaming.subscription import Publisher, SequenceGap, Subscriber
 from millrace.streaming.views import Engine
 from tests.naive import KEYS, evaluate
@@ -379,3 +380,75 @@ def test_deadline_cancels_a_running_job(spark):
         e.apply({"t": ch.adds(t, slow)}, deadline=3)
     assert time.monotonic() - began < 11 and v.data().count() == 10
     assert e.apply({"t": ch.adds(t, spark.range(50, 51).toDF("id"))}, deadline=600) and v.data().count() == 11
+
+
+def test_snapshot_in_chunks_and_catching_up(spark):
+    e = Engine(spark, store(spark))
+    v = e.view(table("track").where(gt("ms", 0)))
+    pub = Publisher(v, keep=2)
+    hello = pub.hello(chunk_rows=2)
+    t = e.catalog["track"]
+    deltas = []
+    for i in range(3):
+        e.apply({"track": ch.adds(t, spark.createDataFrame([(200 + i, 10, 1, 1.0)], SCHEMAS["track"]))})
+        deltas.append(pub.queue[-1])
+    sub = Subscriber(hello, v.key)
+    assert len(hello["chunks"]) == 3
+    with pytest.raises(SequenceGap):
+        sub.take(*deltas[0])
+    for i, rows in enumerate(hello["chunks"]):
+        assert sub.chunk(0, i, rows) and not sub.chunk(0, i, rows)
+    assert sub.rows.count() == 6
+    sub.take(*deltas[0])
+    for x in pub.since(sub.epoch, sub.seq):
+        assert sub.take(*x)
+    assert sorted(map(str, sub.rows.collect())) == sorted(map(str, v.snapshot.collect()))
+    assert len(pub.queue) == 2 and pub.since(0, 3) == []
+    for place in ((0, 0), (1, 3), (0, 4)):
+        with pytest.raises(SequenceGap):
+            pub.since(*place)
+    with pytest.raises(SequenceGap):
+        sub.chunk(7, 0, hello["chunks"][0])
+
+
+def test_idle_views_expire(spark):
+    e = Engine(spark, store(spark))
+    first, second = (e.view(table("artist").where("country", c), idle=i) for c, i in (("de", 60), ("fr", 0)))
+    e.drop(second.name)
+    third = e.view(table("artist"))
+    assert third.name != first.name and set(e.views) == {first.name, third.name}
+    e.drop(first.name)
+    assert e.expire(first.left + 59) == [] and e.view(first.query, first.name) is first
+    assert e.expire(1e18) == []
+    e.drop(first.name)
+    assert e.expire(first.left + 60) == [first.name] and set(e.views) == {third.name}
+
+
+def test_rows_held_by_views(spark):
+    e = Engine(spark, store(spark))
+    assert e.held().count() == 0
+    e.view(table("artist").where("country", "de").select("name").sub("albums", albums))
+    e.view(table("artist").where_exists(albums).select("country"), "gated")
+    found = {(r["table"], r["key"]): (r["n"], r["present"]) for r in e.held().collect()}
+    assert found[("artist", '{"id":1}')] == (2, ["country", "id", "name"])
+    assert found[("artist", '{"id":4}')] == (1, ["id", "name"])
+    assert found[("artist", '{"id":2}')] == (1, ["country", "id"])
+    assert found[("album", '{"id":10}')] == (2, ["artist", "id", "title", "year"])
+    assert found[("album", '{"id":12}')] == (1, ["artist", "id"])
+    assert ("album", '{"id":14}') not in found
+    before = e.held()
+    assert {(r.key, r.n) for r in e.footprint(table("artist").where("id", 1).count()).collect()} == {('{"id":1}', 1)}
+    e.drop("gated")
+    assert {r["key"] for r in before.join(e.held(), ["table", "key"], "left_anti").where("table = 'artist'").collect()} == {'{"id":2}', '{"id":3}'}
+
+
+def test_text_in_chunks_and_spliced(spark):
+    rows = [("a", i, 100 * i, x) for i, x in enumerate(["ab", "cde", None, "", "fé\U0001f600", "h"])] + [("b", 0, 0, "x"), ("b", 1, 900, "y"), ("b", 2, 950, "z"), ("c", 0, 0, None)]
+    deltas = spark.createDataFrame(rows, "id string, seq long, at_ms long, text string")
+    chunks = chunked_text(deltas, ["id"], chars=4)
+    assert sorted(map(tuple, chunks.collect())) == [("a", 0, "abcde"), ("a", 5, "fé\U0001f600h"), ("b", 0, "xy"), ("b", 2, "z")]
+    whole = assembled_text(chunks, ["id"])
+    assert {r.id: r.text for r in whole.collect()} == {"a": "abcdefé\U0001f600h", "b": "xyz"}
+    stored = spark.createDataFrame([("a", "abc"), ("b", "xyzuv"), ("d", None)], "id string, text string")
+    assert {r.id: r.text for r in spliced_text(stored, whole.unionByName(whole.where("id = 'a'")), ["id"]).collect()} == {"a": "abcdefé\U0001f600h", "b": "xyzuv", "d": ""}
+    assert chunked_text(deltas.limit(0), ["id"]).count() == 0
