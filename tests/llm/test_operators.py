@@ -328,6 +328,50 @@ def test_model_adds_what_the_patterns_miss():
     assert all(added == [] for _, added in found[len(MISSED) :])
 
 
+def test_model_reads_text_without_digits_or_marks(spark):
+    text = "Please write to max.berger at example.org before noon"
+    filler = " ".join(["the river runs slowly past the old stone houses"] * 60)
+    for before in ("", filler + ". ", filler * 3 + ". "):
+        assert pii.find_all(pii.model(), [before + text + ". " + filler])[0] == ([], [("email", len(before) + 16, len(before) + 41)])
+    out = pii.find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string"), mask=True).first()
+    assert out.text == "Please write to [EMAIL] before noon"
+
+
+def slow_model_spans(p, text):
+    """Window after window in 64 bits, and one decoding of the whole text."""
+    n, size = len(text), pii.WINDOW
+    ids = np.r_[pii._classes(text).astype(int), np.full(max(0, size - n), pii.PAD)]
+    sums, weights, weight = np.zeros((len(ids), pii.TAGS)), np.zeros((len(ids), 1)), np.array([min(i + 1, size - i) for i in range(size)], float)[:, None]
+    for a in [0] if n <= size else [*range(0, n - size, pii.STRIDE), n - size]:
+        sums[a : a + size] += pii._emissions(p, ids[None, a : a + size])[0] * weight
+        weights[a : a + size] += weight
+    e = (sums / weights)[:n]
+    total, fwd, bwd = pii._marginals(e[None], p["trans"])
+    prob = np.exp(fwd + bwd - total[:, None, None])[0]
+    best, back = e[0], []
+    for t in range(1, n):
+        s = best[:, None] + p["trans"]
+        back.append(s.argmax(axis=0))
+        best = s.max(axis=0) + e[t]
+    path = [int(best.argmax())]
+    for b in reversed(back):
+        path.append(int(b[path[-1]]))
+    return [(pii.KINDS[k], a, z, (prob[a:z, 1 + 2 * k] + prob[a:z, 2 + 2 * k]).min()) for k, a, z in pii._runs(np.array(path[::-1]))]
+
+
+def test_every_window_of_a_text_is_read(monkeypatch):
+    rng, p = np.random.default_rng(4), pii.model()
+    lines = ["x", "9" * 64, "b" * 63, "a" * 65 + " 4"] + [pii._sample_text(rng)[0] for _ in range(40)] + [" ".join(pii._sample_text(rng)[0] for _ in range(k)) for k in (6, 20, 45)]
+    want = [slow_model_spans({k: v.astype(float) for k, v in p.items()}, t) for t in lines]
+    got = pii.model_spans(p, ["", *lines])
+    assert got[0] == [] and [[s[:3] for s in x] for x in got[1:]] == [[s[:3] for s in x] for x in want] and sum(map(len, want)) > 150
+    assert all(abs(x[3] - y[3]) < 1e-3 for a, b in zip(got[1:], want) for x, y in zip(a, b))
+    sure = [[s[:3] for s in x if s[3] >= pii.SURE] for x in got]
+    monkeypatch.setattr(pii, "PARTS", 2)
+    monkeypatch.setattr(pii, "HELD", 3000)
+    assert [[s[:3] for s in x if s[3] >= pii.SURE] for x in pii.model_spans(p, ["", *lines], pii.SURE)] == sure
+
+
 def test_parts_of_a_long_stretch_decode_as_the_whole(monkeypatch):
     rng, p = np.random.default_rng(8), pii.model()
     text = "".join(c + "7 " * (i % 12 == 0) for i, c in enumerate(" ".join(pii._sample_text(rng)[0] for _ in range(60))))
