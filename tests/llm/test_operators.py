@@ -337,6 +337,13 @@ def test_model_reads_text_without_digits_or_marks(spark):
     assert out.text == "Please write to [EMAIL] before noon"
 
 
+def test_words_around_at_are_no_address():
+    lines = ["ON!! TIAT!! THE!! AT!! LY.!! FOR!! A", "then*** thonedth&&& at.&&& Thshwhi", "lyhe errees thinndth an nderin erth tihehe at haan. The"]
+    assert not any(pii._plausible("email", t) for t in ("THE!! AT!! LY.", "thonedth&&& at.&&&", "an nderin erth tihehe at haan."))
+    assert all(pii._plausible("email", t) for t in ("a.b@c.org", "jo at web.de", "jo [at] web [dot] de", "jo(at)web.org.", "jo AT web DOT co DOT uk", "jo @ web.de", "jo＠web．de"))
+    assert all(x == ([], []) for x in pii.find_all(pii.model(), [" ".join([t] * 8) for t in lines]))
+
+
 def slow_model_spans(p, text):
     """Window after window in 64 bits, and one decoding of the whole text."""
     n, size = len(text), pii.WINDOW
