@@ -48,6 +48,14 @@ def test_stages_take_effect(spark, folder):
     assert all(whole[i].ids == t.encode(got[i].text or "", add_special_tokens=False).ids for i in kept)
 
 
+def test_personal_data_is_masked_wherever_it_stands(spark, folder):
+    filler = " ".join(["the river runs slowly past the old stone houses"] * 60)
+    text = f"{filler}. Please write to max.berger at example.org before noon. {filler}"
+    docs = spark.createDataFrame([(1, text, len(text))], "doc_id long, text string, n_chars long")
+    out = cp.pii(spark, docs, folder).first()
+    assert out.text == text.replace("max.berger at example.org", "[EMAIL]") and out.n_chars == len(out.text)
+
+
 def test_clashing_columns_and_odd_rows(spark, folder):
     names = ["score", "spans", "n_words", "items", "contaminated", "__row"]
     rows = [(None, "a b c d e"), (None, "a b c d e"), (4, "p q r s t"), (4, "p q r s t"), (5, None), (5, "")]
