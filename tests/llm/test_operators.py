@@ -379,6 +379,48 @@ def test_every_window_of_a_text_is_read(monkeypatch):
     assert [[s[:3] for s in x if s[3] >= pii.SURE] for x in pii.model_spans(p, ["", *lines], pii.SURE)] == sure
 
 
+def test_all_windows_reach_the_network_equal_ones_once(monkeypatch):
+    rng, p, seen, make = np.random.default_rng(6), pii.model(), [], pii._reader
+
+    def listening(p):
+        read = make(p)
+        return lambda ids: (seen.extend(bytes(row) for row in np.array(ids, np.uint8)), read(ids))[1]
+
+    monkeypatch.setattr(pii, "_reader", listening)
+    long = " ".join(pii._sample_text(rng)[0] for _ in range(30))
+    lines = [long, "a", "plain words only " * 9, long, long + " and an end of its own", long]
+    got = pii.model_spans(p, lines)
+    want = set()
+    for t in lines:
+        ids, n = np.r_[pii._classes(t), np.full(max(0, pii.WINDOW - len(t)), pii.PAD, np.uint8)], len(t)
+        starts = [*range(0, n - pii.WINDOW, pii.STRIDE), max(0, n - pii.WINDOW)]
+        assert set().union(*(range(a, a + pii.WINDOW) for a in starts)) >= set(range(n))
+        want |= {bytes(ids[a : a + pii.WINDOW]) for a in starts}
+    assert len(seen) == len(set(seen)) and set(seen) == want
+    assert got[0] == got[3] == got[5] and len(got[0]) > 20
+
+
+def test_numpy_reads_as_onnxruntime(monkeypatch):
+    pytest.importorskip("onnxruntime")
+    rng, p = np.random.default_rng(7), pii.model()
+    for n in (1, 64, 70):
+        ids = rng.integers(0, pii.ALPHABET, (n, pii.WINDOW)).astype(np.uint8)
+        a, b = pii._reader(p)(ids), pii._numpy_reader(p)(ids)
+        assert a.shape == b.shape == (n, pii.WINDOW * pii.TAGS) and np.allclose(a, b, atol=2e-3)
+    found = pii.find_all(p, [t for t, _ in MISSED])
+    monkeypatch.setattr(pii, "onnxruntime", None)
+    assert pii.find_all(p, [t for t, _ in MISSED]) == found
+
+
+def test_paths_around_sure_characters_are_the_whole_paths():
+    rng, p = np.random.default_rng(11), pii.model()
+    filler = " ".join(["the river runs slowly past the old stone houses"] * 9)
+    lines = [f" {filler[: int(rng.integers(1, len(filler)))]} ".join(pii._sample_text(rng)[0] for _ in range(k)) for k in (1, 2, 5, 30)]
+    sure = lambda found: [[s[:3] for s in x if s[3] >= pii.SURE] for x in found]
+    whole = sure(pii.model_spans(p, lines))
+    assert sure(pii.model_spans(p, lines, pii.SURE)) == whole and sum(map(len, whole)) > 60
+
+
 def test_parts_of_a_long_stretch_decode_as_the_whole(monkeypatch):
     rng, p = np.random.default_rng(8), pii.model()
     text = "".join(c + "7 " * (i % 12 == 0) for i, c in enumerate(" ".join(pii._sample_text(rng)[0] for _ in range(60))))
