@@ -421,6 +421,38 @@ def test_paths_around_sure_characters_are_the_whole_paths():
     assert sure(pii.model_spans(p, lines, pii.SURE)) == whole and sum(map(len, whole)) > 60
 
 
+def test_no_path_is_sought_where_no_span_can_be(monkeypatch):
+    rng, p, sought, best = np.random.default_rng(12), pii.model(), [], pii._viterbi
+    monkeypatch.setattr(pii, "_viterbi", lambda parts, trans: sought.append(len(parts)) or best(parts, trans))
+    words = "anndndha an er to relyon and ernd as ertiinly and in nerin he reingon lyes errend in in"
+    assert pii.find_all(p, [words]) == [([], [])] and not sought
+    assert pii.model_spans(p, [words], pii.SURE) and sought  # the network takes them for an address
+    filler = " ".join([words, "the river runs slowly past the old stone houses"] * 3)
+    lines = [f" {filler[: int(rng.integers(1, len(filler)))]} ".join(pii._sample_text(rng)[0] for _ in range(k)) for k in (1, 2, 5, 30, 60)] + [t for t, _ in MISSED]
+    found = pii.find_all(p, lines)
+    monkeypatch.setattr(pii, "_possible", lambda kind, run: True)
+    assert pii.find_all(p, lines) == found and sum(len(added) for _, added in found) > 60
+
+
+def test_runs_that_hold_a_plausible_piece_are_possible():
+    rng = np.random.default_rng(13)
+    for t in [t for t, _ in MISSED] + [pii._sample_text(rng)[0] for _ in range(20)]:
+        for kind in pii.KINDS:
+            for a in range(0, len(t), 3):
+                for z in range(a + 1, min(len(t), a + 50), 4):
+                    if pii._plausible(kind, t[a:z]):
+                        assert pii._possible(kind, t[max(0, a - 9) : z + 9]), (kind, t[a:z])
+
+
+def test_sums_over_windows_are_averages():
+    rng = np.random.default_rng(14)
+    bare = lambda ids: (ids[:, :, None] * np.arange(1, pii.TAGS + 1)[None, None] * pii._weight()[None, :, None]).reshape(len(ids), -1).astype(np.float32)
+    for n in [1, 39, 40, 41, 63, 64, 65, 79, 80, 81, 104, 105, 119, 144, 145, 160, 200, 1000, 2047, 2049, 5000]:
+        t = "".join(rng.choice(list("ab1 .@X\n"), n))
+        got = np.concatenate([x[y - a : z - a] for x, (a, _, y, z) in zip(pii._merged(bare, [t, t], [(i, [q]) for i in (0, 1) for q in pii._pieces(n)]), pii._pieces(n) * 2, strict=True)])
+        assert np.allclose(got, np.tile(pii._classes(t), 2)[:, None] * np.arange(1, pii.TAGS + 1), rtol=1e-5), n
+
+
 def test_parts_of_a_long_stretch_decode_as_the_whole(monkeypatch):
     rng, p = np.random.default_rng(8), pii.model()
     text = "".join(c + "7 " * (i % 12 == 0) for i, c in enumerate(" ".join(pii._sample_text(rng)[0] for _ in range(60))))
