@@ -49,3 +49,27 @@ def test_nesting_reaches_every_root(spark, name, key, roots):
         pytest.skip("no test tables")
     got = QUERIES[name](spark, folder).select(key).distinct()
     assert got.count() == spark.read.parquet(f"{folder}/{roots}.parquet").count()
+
+
+#: Queries that copy rows to keys 1,000,000 further on.
+COPYING = ["s_diff"]
+
+
+@pytest.fixture(scope="module")
+def taken(tmp_path_factory):
+    """The smallest tables with every order and item there once more, 1,000,000 keys further on, and SQL over them."""
+    if not os.path.isdir(FOLDER):
+        pytest.skip("no test tables")
+    c, folder = duckdb.connect(), str(tmp_path_factory.mktemp("taken"))
+    for f in os.listdir(FOLDER):
+        key = {"orders.parquet": "o_orderkey", "lineitem.parquet": "l_orderkey"}.get(f)
+        rows = f"select * from read_parquet('{FOLDER}/{f}')"
+        c.execute(f"copy ({rows + (f' union all select * replace ({key} + 1000000 as {key}) from ({rows})' if key else '')}) to '{folder}/{f}' (format parquet)")
+        c.execute(f"create view {f.split('.')[0]} as select * from read_parquet('{folder}/{f}')")
+    return folder, c
+
+
+@pytest.mark.parametrize("name", COPYING)
+def test_copies_at_keys_that_are_taken(spark, taken, name):
+    folder, sql = taken
+    assert rows(QUERIES[name](spark, folder).toPandas()) == rows(sql.execute(ORACLE_SQL[name]).fetchdf())
