@@ -52,7 +52,7 @@ def test_nesting_reaches_every_root(spark, name, key, roots):
 
 
 #: Queries that copy rows to keys 1,000,000 further on.
-COPYING = ["s_diff"]
+COPYING = ["s_diff", "t_stream_view"]
 
 
 @pytest.fixture(scope="module")

@@ -216,6 +216,20 @@ def test_views_follow_changes(spark):
     assert e.apply({}) == {}
 
 
+def test_a_key_behind_other_columns_keeps_its_place(spark):
+    c = Catalog()
+    t = c.register("pair", spark.createDataFrame([(10, 1), (20, 2), (30, 3)], "v long, k long"), ["k"])
+    e, schema = Engine(spark, c), ch.change_schema(t)
+    v = e.view(table("pair").where(gt("v", 10)))
+    e.apply({"pair": spark.createDataFrame([(0, "edit", (20, 2), (21, 2))], schema)})
+    e.apply({"pair": spark.createDataFrame([(0, "edit", (30, 3), (31, 3)), (1, "add", None, (40, 4)), (0, "remove", (10, 1), None)], schema)})
+    assert e.catalog["pair"].columns == ["v", "k"]
+    assert sorted(map(tuple, e.catalog["pair"].df.collect())) == sorted(map(tuple, v.data().collect())) == [(21, 2), (31, 3), (40, 4)]
+    swapped = "seq long, op string, old struct<k:long,v:long>, new struct<k:long,v:long>"
+    out = e.apply({"pair": spark.createDataFrame([(0, "edit", (3, 31), (3, 32))], swapped)})
+    assert [(r.old.v, r.new.v, r.new.k) for d in out.values() for r in d.collect()] == [(31, 32, 3)]
+
+
 def test_guard_skips_a_view(spark):
     e = Engine(spark, store(spark))
     v = e.view(table("artist").where("country", "xx"))
