@@ -52,7 +52,7 @@ def test_nesting_reaches_every_root(spark, name, key, roots):
 
 
 #: Queries that copy rows to keys 1,000,000 further on.
-COPYING = ["s_diff", "t_stream_view", "t_stream_group", "v_filter", "v_global_count"]
+COPYING = ["s_diff", "t_stream_view", "t_stream_group", "v_filter", "v_global_count", "v_metrics"]
 
 
 @pytest.fixture(scope="module")
