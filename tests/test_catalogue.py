@@ -52,7 +52,7 @@ def test_nesting_reaches_every_root(spark, name, key, roots):
 
 
 #: Queries that copy rows to keys 1,000,000 further on.
-COPYING = ["s_diff", "t_stream_view", "t_stream_group", "v_filter", "v_global_count", "v_metrics", "v_gate_flip", "v_group_birth_death", "v_group_double", "v_topn_refill", "v_or_collapse", "v_replay", "v_not_gate", "v_group_sum", "v_nested_child"]
+COPYING = ["s_diff", "t_stream_view", "t_stream_group", "v_filter", "v_global_count", "v_metrics", "v_gate_flip", "v_group_birth_death", "v_group_double", "v_topn_refill", "v_or_collapse", "v_replay", "v_not_gate", "v_group_sum", "v_nested_child", "v_flat_replay"]
 
 
 @pytest.fixture(scope="module")
